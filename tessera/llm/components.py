@@ -32,28 +32,27 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots).distinct()
 
 
-def star_pairs(buckets: DataFrame) -> DataFrame:
-    """(a, b) with a < b: every bucket's members with its smallest. buckets: (key, uid).
+def bucket_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): (a, b), a < b, of every bucket's members with its smallest; (key, uid, n) of buckets over two.
 
-    Minimum, maximum and count combine before the shuffle. Buckets of two need nothing more; only larger ones are
-    joined with their members again.
+    buckets: (key, uid, n). Minimum, maximum and count combine before the shuffle. Buckets of two need nothing more;
+    only larger ones are joined with their members again.
     """
-    ends = settle(buckets.groupBy("key").agg(F.min("uid").alias("a"), F.max("uid").alias("z"), F.count("*").alias("n")).where("n > 1 AND a < z"))
-    two = ends.where("n = 2").select("a", F.col("z").alias("b"))
-    more = buckets.join(ends.where("n > 2").select("key", "a"), "key").where("uid != a").select("a", F.col("uid").alias("b"))
-    return two.union(more).distinct()
+    ends = settle(buckets.groupBy("key").agg(F.min("uid").alias("a"), F.max("uid").alias("z"), F.count("*").alias("members")).where("members > 1 AND a < z"))
+    members = settle(buckets.join(ends.where("members > 2").select("key", "a"), "key"))
+    pairs = ends.where("members = 2").select("a", F.col("z").alias("b")).union(members.where("uid != a").select("a", F.col("uid").alias("b")))
+    return pairs.distinct(), members.drop("a")
 
 
-def crossing_pairs(buckets: DataFrame, parts: DataFrame, ratio: float) -> DataFrame:
+def crossing_pairs(members: DataFrame, parts: DataFrame, ratio: float) -> DataFrame:
     """(a, b) with a < b: members of one bucket that stand in different components and whose sizes allow the ratio.
 
-    buckets: (key, uid, n). Buckets of two are left out, as star_pairs has given their only pair. Members of one
-    component need no further pair; a bucket whose members all stand in one yields nothing, whatever its size.
+    members: (key, uid, n) of buckets over two. Members of one component need no further pair; a bucket whose members
+    all stand in one yields nothing, whatever its size.
     """
-    in_part = buckets.join(parts.withColumnRenamed("node", "uid"), "uid", "left")
+    in_part = members.join(parts.withColumnRenamed("node", "uid"), "uid", "left")
     in_part = in_part.select("key", "uid", "n", F.coalesce("component", "uid").alias("part"))
-    mixed = in_part.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("members"))
-    mixed = mixed.where("members > 2 AND lo != hi").select("key")
+    mixed = in_part.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key")
     inside = settle(in_part.join(mixed, "key"))
     x, y = inside.alias("x"), inside.alias("y")
     near = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(ratio - 1e-9)

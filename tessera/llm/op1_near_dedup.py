@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import bagminhash
 from .common import bags, hashed_words, numbered, overlap, settle, shingle_sets, ship, table, text_slices
-from .components import components, crossing_pairs, star_pairs
+from .components import bucket_pairs, components, crossing_pairs
 
 WORDS, SIMILARITY = 5, 0.8
 #: 32 bands of 6 places find a pair of similarity 0.8 with a probability of 0.99994, one of 0.4 with 0.12.
@@ -106,7 +106,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("uid"))
     same = settle(signed.groupBy("digest").agg(F.min(own).alias("first"), F.max("n").alias("n"), F.max("bands").alias("bands")).select("digest", F.col("first.doc_id").alias("doc_id"), F.col("first.uid").alias("uid"), "n", "bands"))
     buckets = same.where("bands IS NOT NULL").select(F.explode("bands").alias("key"), "uid", "n")
-    pairs = settle(star_pairs(buckets))
+    pairs, members = bucket_pairs(buckets)
+    pairs = settle(pairs)
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
@@ -117,7 +118,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     links = settle(verified(pairs, sets_of(pairs), similarity))
     parts = settle(components(links))
-    pairs = settle(crossing_pairs(buckets, parts, similarity).join(pairs, ["a", "b"], "left_anti"))
+    pairs = settle(crossing_pairs(members, parts, similarity).join(pairs, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         more = settle(verified(pairs, sets_of(pairs), similarity))
         if not more.isEmpty():
