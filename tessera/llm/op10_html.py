@@ -27,7 +27,7 @@ from .common import ship, table
 
 PATHS, WORDS, STATS, HIDDEN = 512, 128, 7, 16
 INPUTS = PATHS + WORDS + STATS
-PRACTICE_PAGES, EPOCHS, BATCH_BLOCKS = 700, 14, 20_000
+PRACTICE_PAGES, EPOCHS, BATCH_BLOCKS = 1500, 16, 20_000
 _TAG = re.compile(r"""<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
@@ -259,7 +259,8 @@ class Labeller:
                     inputs, values, bounds = data[r]
                     x[np.repeat(np.arange(bounds.size - 1), np.diff(bounds)), j, inputs] = values
                     y[: len(labels[r]), j], mask[: len(labels[r]), j] = labels[r], True
-                flat = x.reshape(-1, INPUTS) * (rng.random((steps * use.size, INPUTS)) > 0.1)  # no input may be all that tells
+                flat = x.reshape(-1, INPUTS) * (rng.random((steps * use.size, INPUTS), dtype=np.float32) > 0.05)
+                flat[:, PATHS:] *= rng.random((steps * use.size, 1)) > 0.4  # neither a name nor the words may be all that tells
                 run = {w: self._run(w, (flat @ self.p["x" + w] + self.p["c" + w]).reshape(steps, use.size, -1), mask, True) for w in "fb"}
                 both = np.concatenate([run["f"][0], run["b"][0]], axis=2)
                 error = np.where(mask, _sigmoid(both @ self.p["o"] + self.p["ob"]) - y, 0) / mask.sum()
@@ -336,7 +337,7 @@ def practice(seed: int) -> tuple[str, set[str]]:
             item = lambda: f'<a href="/{made()}">{pick([made(), said()])}</a>'
             inner = "<ul>" + "".join(f"<li>{item()}</li>" for _ in range(int(rng.integers(1, 7)))) + "</ul>" if rng.random() < 0.7 else " ".join(item() for _ in range(int(rng.integers(1, 5))))
             if kind == "header" and rng.random() < 0.6:
-                inner = f"<{pick(['h1', 'h2', 'div', 'p'])}>{words(1, 4)}</{'div'}>" + pick(["", inner])
+                inner = "<{0}>{1}</{0}>".format(pick(["h1", "h2", "div", "p"]), words(1, 4)) + pick(["", inner])
         elif kind == "form":
             inner = "".join(f"<{t}>{said()}</{t}>" for t in (pick(["label", "p", "button", "legend"]) for _ in range(int(rng.integers(1, 4)))))
         else:
@@ -346,6 +347,7 @@ def practice(seed: int) -> tuple[str, set[str]]:
         return f"<{tag}{named}>{inner}</{tag}>"
 
     kept: set[str] = set()
+    phrases = [x for _, x in _ASIDES.values()]
 
     def keep(text: str, form: str) -> str:
         kept.add(" ".join(text.split()))
@@ -354,7 +356,8 @@ def practice(seed: int) -> tuple[str, set[str]]:
     body = [keep(words(2, 12).capitalize(), pick(["<h1>{}</h1>", "<h1>{}</h1>", "<h2>{}</h2>", "<header><h1>{}</h1></header>"]))] if rng.random() < 0.9 else []
     for _ in range(int(rng.integers(1, 12))):
         form = pick(["<p>{}</p>"] * 7 + ["<p><b>{}<br>", "<p>{}", "<div>{}</div>", "<h2>{}</h2>", "<h3>{}</h3>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>", "<figure><figcaption>{}</figcaption></figure>", '<p><a href="/x">{}</a></p>'])
-        body.append(keep(words(2, 6) if form[1] == "h" else pick([prose(), prose(), words(1, 4)]), form))
+        saying = words(2, 6) if form[1] == "h" else pick([prose(), prose(), prose(), words(1, 4), " ".join(pick(pick(phrases).split()) for _ in range(int(rng.integers(1, 6)))) + pick([".", ""])])
+        body.append(keep(saying, form))  # an article may say what menus and footers say
         if rng.random() < 0.1:
             body.append(junk(pick(["ad", "aside", "notice", "form", "share"]), rng.random() < 0.6))
     if rng.random() < 0.2:
