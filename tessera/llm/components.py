@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
 
+SLOTS, SMALL = 1 << 18, 16
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every linked node; the component is its smallest node.
@@ -44,17 +48,66 @@ def bucket_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.distinct(), members.drop("a")
 
 
-def crossing_pairs(members: DataFrame, parts: DataFrame, ratio: float) -> DataFrame:
-    """(a, b) with a < b: members of one bucket that stand in different components and whose sizes allow the ratio.
+def crossing(members: DataFrame, parts: DataFrame, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs, inside) of bucket members that stand in different components: what is left to compare after bucket_pairs.
 
     members: (key, uid, n) of buckets over two. Members of one component need no further pair; a bucket whose members
-    all stand in one yields nothing, whatever its size.
+    all stand in one yields nothing, whatever its size. Of the others, buckets of up to SMALL members give all pairs
+    (a, b), a < b, of different components whose sizes allow the ratio, which is at most SMALL rows a member. Members
+    of larger ones, (uid, part), are for prefix_pairs, whose rows do not grow with the square of a bucket.
     """
-    in_part = members.join(parts.withColumnRenamed("node", "uid"), "uid", "left")
-    in_part = in_part.select("key", "uid", "n", F.coalesce("component", "uid").alias("part"))
-    mixed = in_part.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key")
-    inside = settle(in_part.join(mixed, "key"))
-    x, y = inside.alias("x"), inside.alias("y")
+    in_part = members.join(parts.withColumnRenamed("node", "uid"), "uid", "left").select("key", "uid", "n", F.coalesce("component", "uid").alias("part"))
+    mixed = in_part.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("members")).where("lo != hi").select("key", "members")
+    own = settle(in_part.join(mixed, "key"))
+    x, y = own.where(F.col("members") <= SMALL).alias("x"), own.where(F.col("members") <= SMALL).alias("y")
     near = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(ratio - 1e-9)
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.part") != F.col("y.part")) & near)
+    pairs = pairs.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
+    return pairs, settle(own.where(F.col("members") > SMALL).select("uid", "part").distinct())
+
+
+def _frequencies(batches):
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for x in batch.column(0):
+            total += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(64 - 18)).astype(np.int64), minlength=SLOTS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["slot", "n"])
+
+
+def _prefixes(often, ratio: float):
+    def run(batches):
+        for batch in batches:
+            take, sizes, tokens = [], [], []
+            for k, x in enumerate(batch.column(2)):
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                n = own.size - int(np.ceil(ratio * own.size - 1e-9)) + 1 if own.size else 0
+                rare = np.lexsort((own, often.value[(own >> np.uint64(64 - 18)).astype(np.int64)]))[:n]
+                take.append(np.full(n, k))
+                sizes.append(np.full(n, own.size))
+                tokens.append(own[rare])
+            rows = pa.array(np.concatenate(take), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(tokens).view(np.int64))], ["uid", "part", "n", "token"])
+
+    return run
+
+
+def prefix_pairs(rows: DataFrame, ratio: float) -> DataFrame:
+    """(a, b) with a < b of different parts that share an element of both prefixes, and whose sizes allow the ratio.
+
+    rows: (uid, part, shingles), the last sorted distinct 64-bit elements. Sets of a Jaccard similarity of ratio or
+    more share one of their n - ceil(ratio n) + 1 first elements in any common order, so no such pair is lost. The
+    order is by rising frequency: what many sets hold comes last and in few prefixes, so a passage that thousands
+    share brings no pairs about. Frequencies are sums over SLOTS hash slots, which bounds what is broadcast.
+    """
+    often = np.zeros(SLOTS, np.int64)
+    for r in rows.select("shingles").mapInArrow(_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # SLOTS rows at most
+        often[r["slot"]] = r["n"]
+    often = rows.sparkSession.sparkContext.broadcast(often)
+    found = settle(rows.select("uid", "part", "shingles").mapInArrow(_prefixes(often, ratio), "uid long, part long, n long, token long"))
+    mixed = found.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("token")
+    found = settle(found.join(mixed, "token"))
+    x, y = found.alias("x"), found.alias("y")
+    near = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(ratio - 1e-9)
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.part") != F.col("y.part")) & near)
     return pairs.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()

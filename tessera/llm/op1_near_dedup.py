@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import bagminhash
 from .common import bags, hashed_words, numbered, overlap, settle, shingle_sets, ship, table, text_slices
-from .components import bucket_pairs, components, crossing_pairs
+from .components import bucket_pairs, components, crossing, prefix_pairs
 
 WORDS, SIMILARITY = 5, 0.8
 #: 32 bands of 6 places find a pair of similarity 0.8 with a probability of 0.99994, one of 0.4 with 0.12.
@@ -96,6 +96,10 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(similar(similarity), "a long, b long")
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(uid, doc_id, class_uid, keeper, n_shingles) of every row: the row of number keeper stays of each class."""
     ship(docs.sparkSession)
@@ -109,18 +113,21 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     pairs, members = bucket_pairs(buckets)
     pairs = settle(pairs)
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
+    def sets_of(wanted: DataFrame) -> DataFrame:
         wanted = same.join(wanted, "uid").select("uid", "digest", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
         texts = docs.select(ids.alias("id"), F.col(text_column).cast("string").alias("text")).join(wanted, "id")
         found = texts.select("uid", "text", "digest").mapInArrow(_shingled, "uid long, shingles binary").where("shingles IS NOT NULL")
         return settle(found.dropDuplicates(["uid"]))
 
-    links = settle(verified(pairs, sets_of(pairs), similarity))
+    links = settle(verified(pairs, sets_of(ends_of(pairs)), similarity))
     parts = settle(components(links))
-    pairs = settle(crossing_pairs(members, parts, similarity).join(pairs, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        more = settle(verified(pairs, sets_of(pairs), similarity))
+    some, inside = crossing(members, parts, similarity)
+    some = some.join(pairs, ["a", "b"], "left_anti")
+    if not inside.isEmpty():
+        some = some.union(prefix_pairs(inside.join(sets_of(inside.select("uid").distinct()), "uid"), similarity).join(pairs, ["a", "b"], "left_anti")).distinct()
+    some = settle(some)
+    if not some.isEmpty():
+        more = settle(verified(some, sets_of(ends_of(some)), similarity))
         if not more.isEmpty():
             parts = settle(components(links.union(more)))
     classes = same.join(parts.withColumnRenamed("node", "uid"), "uid", "left").select("digest", F.coalesce("component", "uid").alias("class_uid"))
