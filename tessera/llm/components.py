@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .common import settle
 
 SLOTS, SMALL = 1 << 18, 16
+#: Longs of a set's parity map, and different orders in which buckets choose the member that the others meet.
+LONGS, ORDERS = 16, 4
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -37,15 +39,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def bucket_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): (a, b), a < b, of every bucket's members with its smallest; (key, uid, n) of buckets over two.
+    """(pairs, members): (a, b), a < b, of every bucket's members with one of them; (key, uid, n) of buckets over two.
 
     buckets: (key, uid, n). Minimum, maximum and count combine before the shuffle. Buckets of two need nothing more;
-    only larger ones are joined with their members again.
+    only larger ones are joined with their members again. The one that all meet is the smallest in one of ORDERS orders,
+    which the key picks: one unlucky choice, say of a text far from the others, then does not hold for every bucket.
     """
-    ends = settle(buckets.groupBy("key").agg(F.min("uid").alias("a"), F.max("uid").alias("z"), F.count("*").alias("members")).where("members > 1 AND a < z"))
-    members = settle(buckets.join(ends.where("members > 2").select("key", "a"), "key"))
-    pairs = ends.where("members = 2").select("a", F.col("z").alias("b")).union(members.where("uid != a").select("a", F.col("uid").alias("b")))
-    return pairs.distinct(), members.drop("a")
+    mask = F.xxhash64(F.pmod("key", F.lit(ORDERS)))
+    ends = buckets.groupBy("key").agg(F.min("uid").alias("a"), F.max("uid").alias("z"), F.min(F.col("uid").bitwiseXOR(mask)).alias("met"), F.count("*").alias("members"))
+    ends = settle(ends.where("members > 1 AND a < z").select("key", "a", "z", F.col("met").bitwiseXOR(mask).alias("met"), "members"))
+    members = settle(buckets.join(ends.where("members > 2").select("key", "met"), "key"))
+    stars = members.where("uid != met").select(F.least("met", "uid").alias("a"), F.greatest("met", "uid").alias("b"))
+    return ends.where("members = 2").select("a", F.col("z").alias("b")).union(stars).distinct(), members.drop("met")
 
 
 def crossing(members: DataFrame, parts: DataFrame, ratio: float) -> tuple[DataFrame, DataFrame]:
@@ -78,36 +83,46 @@ def _frequencies(batches):
 def _prefixes(often, ratio: float):
     def run(batches):
         for batch in batches:
-            take, sizes, tokens = [], [], []
-            for k, x in enumerate(batch.column(2)):
+            sizes, tokens, maps = [], [], []
+            for x in batch.column(2):
                 own = np.frombuffer(x.as_buffer(), np.uint64)
                 n = own.size - int(np.ceil(ratio * own.size - 1e-9)) + 1 if own.size else 0
                 rare = np.lexsort((own, often.value[(own >> np.uint64(64 - 18)).astype(np.int64)]))[:n]
-                take.append(np.full(n, k))
-                sizes.append(np.full(n, own.size))
-                tokens.append(own[rare])
-            rows = pa.array(np.concatenate(take), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(tokens).view(np.int64))], ["uid", "part", "n", "token"])
+                odd = np.bincount((own & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
+                sizes.append(own.size)
+                tokens.append(own[rare].view(np.int64))
+                maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))], ["uid", "part", "n", "tokens", "map"]
+            )
 
     return run
 
 
 def prefix_pairs(rows: DataFrame, ratio: float) -> DataFrame:
-    """(a, b) with a < b of different parts that share an element of both prefixes, and whose sizes allow the ratio.
+    """(a, b) with a < b of different parts that share an element of both prefixes, and whose sizes and maps allow the ratio.
 
     rows: (uid, part, shingles), the last sorted distinct 64-bit elements. Sets of a Jaccard similarity of ratio or
     more share one of their n - ceil(ratio n) + 1 first elements in any common order, so no such pair is lost. The
     order is by rising frequency: what many sets hold comes last and in few prefixes, so a passage that thousands
     share brings no pairs about. Frequencies are sums over SLOTS hash slots, which bounds what is broadcast.
+
+    A set's map has a bit for each residue of its elements: whether their number is odd. Where two maps differ, the sets
+    differ in an element at least, so sets whose maps differ in more bits than the ratio allows elements are not similar:
+    such pairs never leave the join, and no similar one is lost.
     """
     often = np.zeros(SLOTS, np.int64)
     for r in rows.select("shingles").mapInArrow(_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # SLOTS rows at most
         often[r["slot"]] = r["n"]
     often = rows.sparkSession.sparkContext.broadcast(often)
-    found = settle(rows.select("uid", "part", "shingles").mapInArrow(_prefixes(often, ratio), "uid long, part long, n long, token long"))
-    mixed = found.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("token")
-    found = settle(found.join(mixed, "token"))
-    x, y = found.alias("x"), found.alias("y")
+    found = settle(rows.select("uid", "part", "shingles").mapInArrow(_prefixes(often, ratio), "uid long, part long, n long, tokens array<long>, map array<long>"))
+    each = found.select("uid", "part", F.explode("tokens").alias("token"))
+    mixed = each.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("token")
+    maps = found.select("uid", "n", *[F.col("map")[k].alias(f"m{k}") for k in range(LONGS)])
+    each = settle(each.join(mixed, "token").join(maps, "uid"))
+    x, y = each.alias("x"), each.alias("y")
     near = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(ratio - 1e-9)
+    differ = sum((F.bit_count(F.col(f"x.m{k}").bitwiseXOR(F.col(f"y.m{k}"))) for k in range(1, LONGS)), F.bit_count(F.col("x.m0").bitwiseXOR(F.col("y.m0"))))
+    near &= differ <= (F.col("x.n") + F.col("y.n")) * F.lit((1 - ratio) / (1 + ratio)) + F.lit(1e-6)
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.part") != F.col("y.part")) & near)
     return pairs.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
