@@ -99,8 +99,8 @@ def _prefixes(often, ratio: float):
     return run
 
 
-def prefix_pairs(rows: DataFrame, ratio: float) -> DataFrame:
-    """(a, b) with a < b of different parts that share an element of both prefixes, and whose sizes and maps allow the ratio.
+def prefixed(rows: DataFrame, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """(each, info): (uid, part, token) of all prefixes, and (uid, part, n, m0, m1, ...) with the sets' maps.
 
     rows: (uid, part, shingles), the last sorted distinct 64-bit elements. Sets of a Jaccard similarity of ratio or
     more share one of their n - ceil(ratio n) + 1 first elements in any common order, so no such pair is lost. The
@@ -117,12 +117,68 @@ def prefix_pairs(rows: DataFrame, ratio: float) -> DataFrame:
     often = rows.sparkSession.sparkContext.broadcast(often)
     found = settle(rows.select("uid", "part", "shingles").mapInArrow(_prefixes(often, ratio), "uid long, part long, n long, tokens array<long>, map array<long>"))
     each = found.select("uid", "part", F.explode("tokens").alias("token"))
-    mixed = each.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("token")
-    maps = found.select("uid", "n", *[F.col("map")[k].alias(f"m{k}") for k in range(LONGS)])
-    each = settle(each.join(mixed, "token").join(maps, "uid"))
-    x, y = each.alias("x"), each.alias("y")
+    each = settle(each.join(_mixed(each), "token"))
+    return each, found.select("uid", "part", "n", *[F.col("map")[k].alias(f"m{k}") for k in range(LONGS)])
+
+
+def _mixed(each: DataFrame) -> DataFrame:
+    return each.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("token")
+
+
+def _near(ratio: float):
+    """Whether x and y, (part, n, m0, ...), stand in different parts and may be similar by sizes and maps."""
     near = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(ratio - 1e-9)
     differ = sum((F.bit_count(F.col(f"x.m{k}").bitwiseXOR(F.col(f"y.m{k}"))) for k in range(1, LONGS)), F.bit_count(F.col("x.m0").bitwiseXOR(F.col("y.m0"))))
-    near &= differ <= (F.col("x.n") + F.col("y.n")) * F.lit((1 - ratio) / (1 + ratio)) + F.lit(1e-6)
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.part") != F.col("y.part")) & near)
+    return (F.col("x.part") != F.col("y.part")) & near & (differ <= (F.col("x.n") + F.col("y.n")) * F.lit((1 - ratio) / (1 + ratio)) + F.lit(1e-6))
+
+
+def star_pairs(each: DataFrame, info: DataFrame, ratio: float) -> DataFrame:
+    """Of each token's sets, the pairs (a, b) of one, which the token picks, with the others: as many as there are rows."""
+    mask = F.xxhash64("token")
+    met = each.groupBy("token").agg(F.min(F.col("uid").bitwiseXOR(mask)).alias("met")).select("token", F.col("met").bitwiseXOR(mask).alias("met"))
+    pairs = each.join(met, "token").where("uid != met").select(F.least("uid", "met").alias("a"), F.greatest("uid", "met").alias("b")).distinct()
+    some = pairs.join(info.alias("x"), F.col("a") == F.col("x.uid")).join(info.alias("y"), F.col("b") == F.col("y.uid"))
+    return some.where(_near(ratio)).select("a", "b")
+
+
+def all_pairs(each: DataFrame, info: DataFrame, ratio: float) -> DataFrame:
+    """(a, b) with a < b of different parts that share a token, and whose sizes and maps allow the ratio."""
+    wide = settle(each.join(_mixed(each), "token").select("uid", "token").join(info, "uid"))
+    x, y = wide.alias("x"), wide.alias("y")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.uid") < F.col("y.uid")) & _near(ratio))
     return pairs.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
+
+
+def prefix_pairs(rows: DataFrame, ratio: float) -> DataFrame:
+    """(a, b) with a < b of different parts among which are all pairs of that similarity; rows as for prefixed."""
+    return all_pairs(*prefixed(rows, ratio), ratio)
+
+
+def completed(pairs: DataFrame, links: DataFrame, members: DataFrame, sizes: float, ratio: float, rows_of, verify) -> DataFrame:
+    """(node, component) by links and all further ones between members of one bucket; both as from bucket_pairs.
+
+    sizes: the ratio that n of similar members has at least. rows_of(inside) gives (uid, part, shingles), verify(pairs)
+    the similar ones. Tokens' stars come first: they join most of what is left with as many pairs as rows, so that the
+    last step, which compares all sets of a token, has few different parts to compare.
+    """
+    parts = settle(components(links))
+    some, inside = crossing(members, parts, sizes)
+    some, each = some.join(pairs, ["a", "b"], "left_anti"), None
+    if not inside.isEmpty():
+        each, info = prefixed(rows_of(inside), ratio)
+        some = some.union(star_pairs(each, info, ratio).join(pairs, ["a", "b"], "left_anti")).distinct()
+    some = settle(some)
+    if not some.isEmpty():
+        more = verify(some)
+        if not more.isEmpty():
+            links = settle(links.union(more))
+            parts = settle(components(links))
+    if each is not None:
+        own = parts.withColumnRenamed("node", "uid")
+        each, info = (x.drop("part").join(own, "uid", "left").withColumn("part", F.coalesce("component", "uid")).drop("component") for x in (each, info))
+        rest = settle(all_pairs(settle(each), settle(info), ratio).join(pairs, ["a", "b"], "left_anti").join(some, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            more = verify(rest)
+            if not more.isEmpty():
+                parts = settle(components(links.union(more)))
+    return parts

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import bagminhash
 from .common import bags, hashed_words, numbered, overlap, settle, shingle_sets, ship, table, text_slices
-from .components import bucket_pairs, components, crossing, prefix_pairs
+from .components import bucket_pairs, completed
 
 WORDS, SIMILARITY = 5, 0.8
 #: 32 bands of 6 places find a pair of similarity 0.8 with a probability of 0.99994, one of 0.4 with 0.12.
@@ -119,17 +119,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         found = texts.select("uid", "text", "digest").mapInArrow(_shingled, "uid long, shingles binary").where("shingles IS NOT NULL")
         return settle(found.dropDuplicates(["uid"]))
 
-    links = settle(verified(pairs, sets_of(ends_of(pairs)), similarity))
-    parts = settle(components(links))
-    some, inside = crossing(members, parts, similarity)
-    some = some.join(pairs, ["a", "b"], "left_anti")
-    if not inside.isEmpty():
-        some = some.union(prefix_pairs(inside.join(sets_of(inside.select("uid").distinct()), "uid"), similarity).join(pairs, ["a", "b"], "left_anti")).distinct()
-    some = settle(some)
-    if not some.isEmpty():
-        more = settle(verified(some, sets_of(ends_of(some)), similarity))
-        if not more.isEmpty():
-            parts = settle(components(links.union(more)))
+    def verify(some: DataFrame) -> DataFrame:
+        return settle(verified(some, sets_of(ends_of(some)), similarity))
+
+    def rows_of(inside: DataFrame) -> DataFrame:
+        return inside.join(sets_of(inside.select("uid").distinct()), "uid")
+
+    parts = completed(pairs, verify(pairs), members, similarity, similarity, rows_of, verify)
     classes = same.join(parts.withColumnRenamed("node", "uid"), "uid", "left").select("digest", F.coalesce("component", "uid").alias("class_uid"))
     rows = settle(signed.select("uid", "doc_id", "md5", "digest", "n").join(classes, "digest"))
     first = rows.groupBy("class_uid").agg(F.min(own).alias("first"), F.count("*").alias("class_size"))
