@@ -62,7 +62,8 @@ def _process(base, weight, row, low, width, until, flat, m) -> None:
         block = int(np.clip(np.median((end - time) * width) + 1, 1, max(1, min(256, 400_000 // base.size))))
         count = (np.arange(nth, nth + block, dtype=np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)
         h = mix(base[:, None] + count[None, :])
-        at = time[:, None] + np.cumsum(-np.log(_uniform(h)) / width, axis=1)
+        # From the carried time on, one by one: sums are the same to the last bit however points are dealt to blocks.
+        at = np.cumsum(np.concatenate([time[:, None], -np.log(_uniform(h)) / width], axis=1), axis=1)[:, 1:]
         ok = at <= end[:, None]
         i, j = np.nonzero(ok)
         h2 = mix(h[i, j] ^ U(0xA0761D6478BD642F))

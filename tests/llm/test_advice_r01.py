@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import op6_secrets
+from tessera.llm import bagminhash, op6_secrets
 
 
 def docs(spark, texts):
@@ -21,3 +22,22 @@ def test_op6_formats_pass_their_own_candidates(spark):
     formats = op6_secrets.learn(rows)
     found = {r["doc_id"]: r["spans"] for r in op6_secrets.find_secrets(rows, formats).where(F.col("doc_id") >= 80).collect()}
     assert found == {80: "format:6:46", 81: "format:3:17", 82: "", 83: ""}
+
+
+def test_signatures_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(4)
+    sizes = [int(x) for x in rng.integers(1, 60, 400)] + [3000, 9000]
+    elements = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in sizes]
+    for m, per_band, heavy in ((192, 6, 5), (30, 3, 1)):
+        weights = [rng.integers(1, heavy + 1, x.size) for x in elements]
+
+        def signed(rows, m=m, per_band=per_band, weights=weights):
+            row = np.repeat(np.arange(len(rows)), [elements[k].size for k in rows])
+            sig = bagminhash.signatures(np.concatenate([elements[k] for k in rows]), np.concatenate([weights[k] for k in rows]), row, len(rows), m)
+            return bagminhash.bands(sig, per_band)
+
+        every = signed(range(len(sizes)))
+        for k in [*range(0, 400, 5), 400, 401]:
+            assert (signed([k])[0] == every[k]).all()
+        few = list(range(7, 60, 9))
+        assert (signed(few) == every[few]).all()
