@@ -252,15 +252,30 @@ def _without(phrases):
     return run
 
 
+def _left(text: bytes, edge, starts, ends) -> bytes:
+    """text without the words of the spans [start, end, ...] of edge and what stands between them."""
+    keep, at = [], 0
+    for a, b in zip(edge[::2], edge[1::2]):
+        keep.append(text[at : starts[a]])
+        at = int(ends[b - 1])
+    return b"".join([*keep, text[at:]])
+
+
+def _shortened(batches):
+    """(doc_id, text) of (doc_id, text, spans): the texts without their spans."""
+    for batch in batches:
+        for _, at, n, _, first, starts, ends, offsets, data in _shards([batch], 1):
+            out = []
+            for k, spans in enumerate(batch.column(2).slice(at, n).to_pylist()):
+                a, b = first[k], first[k + 1]
+                out.append(_left(data[offsets[k] : offsets[k + 1]].tobytes(), spans, starts[a:b] - offsets[k], ends[a:b] - offsets[k]).decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(out, pa.string())], ["doc_id", "text"])
+
+
 def _cut(phrases: Phrases, text: bytes, hit, starts, ends) -> str:
     """text without its hit words and what stands between them, again until what is left holds no window."""
     while hit.any():
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-        keep, at = [], 0
-        for a, b in zip(edge[::2], edge[1::2]):
-            keep.append(text[at : starts[a]])
-            at = int(ends[b - 1])
-        text = b"".join([*keep, text[at:]])
+        text = _left(text, np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))), starts, ends)
         data = np.concatenate([np.frombuffer(text, np.uint8), np.zeros(8, np.uint8)])
         offsets = np.array([0, len(text)])
         hashes, first, starts, ends = hashed_words(offsets, data)
@@ -269,16 +284,37 @@ def _cut(phrases: Phrases, text: bytes, hit, starts, ends) -> str:
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs without the benchmark's passages; a document of which only white space is left is dropped."""
+    """docs without the benchmark's passages; a document of which only white space is left is dropped.
+
+    All words hit by any window go at once, and what is left is searched again, until it holds no window. One block of
+    windows does that where the document is; with more, every block has searched a text before any of it is cut.
+    """
     ship(docs.sparkSession)
-    out = docs
-    for k, block in enumerate(phrase_blocks(benchmark)):
-        names = out.columns
-        renamed = (settle(out) if k else out).select(F.col(f"`{text_column}`").cast("string").alias("_own"), *[F.col(f"`{c}`").alias(f"_c{j}") for j, c in enumerate(names) if c != text_column])
-        kinds = ", ".join(["_text string", "_cut boolean", *(f"{f.name} {f.dataType.simpleString()}" for f in renamed.schema.fields[1:])])
-        cut = renamed.mapInArrow(_without(block), kinds).where("NOT _cut OR _text RLIKE '[^\\\\s]'")
-        out = cut.select(*[(F.col("_text") if c == text_column else F.col(f"_c{j}")).alias(c) for j, c in enumerate(names)])
-    return out
+    blocks, names = list(phrase_blocks(benchmark)), docs.columns
+    if not blocks:
+        return docs
+    text, others = F.col(f"`{text_column}`").cast("string"), [F.col(f"`{c}`").alias(f"_c{j}") for j, c in enumerate(names) if c != text_column]
+    if len(blocks) > 1:
+        rows = _without_all(docs.select(F.struct(F.lit(0).alias("_"), *others).alias("doc_id"), text.alias("text")), blocks)
+        return rows.select(*[(F.col("text") if c == text_column else F.col(f"doc_id._c{j}")).alias(c) for j, c in enumerate(names)])
+    renamed = docs.select(text.alias("_own"), *others)
+    kinds = ", ".join(["_text string", "_cut boolean", *(f"{f.name} {f.dataType.simpleString()}" for f in renamed.schema.fields[1:])])
+    cut = renamed.mapInArrow(_without(blocks[0]), kinds).where("NOT _cut OR _text RLIKE '[^\\\\s]'")
+    return cut.select(*[(F.col("_text") if c == text_column else F.col(f"_c{j}")).alias(c) for j, c in enumerate(names)])
+
+
+def _without_all(rows: DataFrame, blocks: list) -> DataFrame:
+    """(doc_id, text) without what any block's windows hit; only texts that were cut are searched once more."""
+    kind, out = rows.schema["doc_id"].dataType.simpleString(), None
+    while True:
+        rows = rows.withColumns({"spans": F.array().cast("array<long>"), "items": F.array().cast("array<string>")})
+        for block in blocks:
+            rows = settle(rows.select("doc_id", "text", "spans", "items").mapInArrow(_search(block), f"doc_id {kind}, text string, spans array<long>, items array<string>, n_words long"))
+        clean, hit = rows.where("size(spans) = 0").select("doc_id", "text"), rows.where("size(spans) > 0")
+        out = clean if out is None else out.union(clean)
+        if hit.isEmpty():
+            return out
+        rows = hit.select("doc_id", "text", "spans").mapInArrow(_shortened, f"doc_id {kind}, text string").where("text RLIKE '[^\\\\s]'")
 
 
 def op8_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import bagminhash, op6_secrets
+from tessera.llm import bagminhash, op6_secrets, op8_decontamination
 
 
 def docs(spark, texts):
@@ -41,3 +41,21 @@ def test_signatures_do_not_depend_on_the_batch():
             assert (signed([k])[0] == every[k]).all()
         few = list(range(7, 60, 9))
         assert (signed(few) == every[few]).all()
+
+
+def test_decontamination_does_not_depend_on_blocks(spark, monkeypatch):
+    passage = [f"w{k}" for k in range(50)]
+    bench = spark.createDataFrame([(1, " ".join(passage)), (2, " ".join(f"v{k}" for k in range(14))), (3, "one two three")], "item_id long, text string")
+    inner = " ".join([*passage[:5], *(f"v{k}" for k in range(14)), *passage[5:12]])  # a passage that the first cut brings together
+    texts = [f"before, {' '.join(passage)}. after", f"x {inner} y", " ".join(passage), None, "", " ", "nothing of it", "one two Three four", "one one two three two three end"]
+    rows = spark.createDataFrame([(k, t, k, {"a": k}) for k, t in enumerate(texts)], "doc_id long, text string, `odd name` int, m map<string,int>")
+
+    def left():
+        out = op8_decontamination.without_benchmark(rows, bench)
+        assert out.columns == rows.columns
+        return {r["doc_id"]: (r["text"], r["odd name"], r["m"]) for r in out.collect()}
+
+    whole = left()
+    assert {k: v[0] for k, v in whole.items()} == {0: "before, . after", 1: "x  y", 3: None, 4: "", 5: " ", 6: "nothing of it", 7: " four", 8: " end"}
+    monkeypatch.setattr(op8_decontamination, "BLOCK_WINDOWS", 9)
+    assert left() == whole
