@@ -80,7 +80,7 @@ def _process(base, weight, row, low, width, until, flat, m) -> None:
 def bands(sig: np.ndarray, per_band: int) -> np.ndarray:
     """(rows, m // per_band) 64-bit keys; a key covers the band's number and its places."""
     rows, m = sig.shape
-    bits = sig[:, : m // per_band * per_band].view(np.uint64).reshape(rows, -1, per_band)
+    bits = sig[:, : m // per_band * per_band].view(np.uint64).reshape(rows, m // per_band, per_band)
     h = np.broadcast_to(mix(np.arange(bits.shape[1], dtype=np.uint64) + U(77)), bits.shape[:2]).copy()
     for k in range(per_band):
         h = mix((h * U(0x9E3779B97F4A7C15)) ^ bits[:, :, k])

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import bagminhash, op6_secrets, op8_decontamination
+from tessera.llm import bagminhash, op3_line_dedup, op6_secrets, op8_decontamination
 
 
 def docs(spark, texts):
@@ -59,3 +59,10 @@ def test_decontamination_does_not_depend_on_blocks(spark, monkeypatch):
     assert {k: v[0] for k, v in whole.items()} == {0: "before, . after", 1: "x  y", 3: None, 4: "", 5: " ", 6: "nothing of it", 7: " four", 8: " end"}
     monkeypatch.setattr(op8_decontamination, "BLOCK_WINDOWS", 9)
     assert left() == whole
+
+
+def test_op3_short_lines(spark):
+    texts = ["Share\nRead  more here\nown\n\nNa-na-na-na-na-na", "share \nread more here\nother\n\nNa-na-na-na-na", "read more there\nSHARE\n \nown", "}"]
+    out = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in op3_line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert out == {0: (texts[0], 0), 1: ("other\n", 3), 2: ("read more there\n ", 2), 3: ("}", 0)}
+    assert sorted(r["text"] for r in op3_line_dedup.dedup_lines(docs(spark, ["", "a\n\nb"]).union(docs(spark, ["", "a\n\nb"]))).collect()) == ["", "", "", "a\n\nb"]
