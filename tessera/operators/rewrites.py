@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..sources.triples import COLUMNS, LABEL, TYPE
 from .patterns import cut, merged
 
+#: Types that are no classes of individuals.
+META = [*(f"owl:{x}" for x in ("NamedIndividual", "Class", "Ontology", "ObjectProperty", "DatatypeProperty", "FunctionalProperty", "InverseFunctionalProperty", "TransitiveProperty", "SymmetricProperty")), "rdfs:Class"]
+
 
 def rename_predicate(t: DataFrame, old: str, new: str) -> DataFrame:
     return t.withColumn("p", F.when(F.col("p") == old, new).otherwise(F.col("p"))).distinct()
@@ -45,6 +48,33 @@ def dedup_individuals(t: DataFrame, cls: str) -> DataFrame:
     return redirected(t, canonical_individuals(t, cls).where("s != canonical"))
 
 
+def class_order(t: DataFrame) -> list[str]:
+    """The classes of t's individuals, those that others' individuals refer to first; a cycle goes on with its smallest.
+
+    An individual of several classes stands for the first in name, and for all of them where it refers to others.
+    """
+    typed = t.where((F.col("p") == TYPE) & (F.col("o_kind") == "iri") & ~F.col("o").isin(*META)).where(~F.col("s").startswith("_:")).select("s", F.col("o").alias("cls")).distinct()
+    first = typed.groupBy(F.col("s").alias("o")).agg(F.min("cls").alias("to"))
+    edges = t.where("o_kind = 'iri'").select("s", "o").join(typed, "s").join(first, "o").where("cls != to").select("cls", "to").distinct().collect()  # classes, not individuals
+    left = {r["cls"]: set() for r in typed.select("cls").distinct().collect()}
+    for r in edges:
+        left[r["cls"]].add(r["to"])
+    order: list[str] = []
+    while left:
+        ready = sorted(c for c, to in left.items() if not to & left.keys()) or [min(left)]
+        order += ready
+        for c in ready:
+            del left[c]
+    return order
+
+
+def dedup_all_individuals(t: DataFrame) -> DataFrame:
+    """dedup_individuals for every class in class_order, so that references are equal before those that hold them are compared."""
+    for cls in class_order(t):
+        t = cut(dedup_individuals(t, cls))
+    return t
+
+
 def redirected(t: DataFrame, renames: DataFrame) -> DataFrame:
     """t with the nodes of renames (s, canonical) replaced wherever they stand."""
     a, b = renames.select("s", F.col("canonical").alias("_s")), renames.select(F.col("s").alias("o"), F.col("canonical").alias("_o"))
