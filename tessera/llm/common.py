@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -27,21 +28,48 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only in a local session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         found = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder and read back: lineage is cut, and a lost executor costs no recomputation."""
+_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """df, written once to the shared folder and read back: lineage is cut, and a lost executor costs no recomputation.
+
+    The shuffle files that writing took are deleted with its end, and so are the tables of spent: settled ones of which
+    df was made and that nothing else reads any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_SHUFFLES, None)
+    spark.conf.set(_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLES, before) if before is not None else spark.conf.unset(_SHUFFLES)
+    forget(*spent)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def forget(*spent: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more; other DataFrames are left alone."""
+    for df in spent:
+        path = getattr(df, "_settled", None)
+        if path:
+            jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

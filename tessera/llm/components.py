@@ -7,35 +7,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import forget, settle
 
 SLOTS, SMALL = 1 << 18, 16
 #: Longs of a set's parity map, and different orders in which buckets choose the member that the others meet.
 LONGS, ORDERS = 16, 4
+#: Links, 16 bytes each, that a task contracts at a time.
+TASK_LINKS = 1 << 20
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of every linked node; the component is its smallest node.
+def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of the nodes that are not smallest themselves."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: u.size], at[u.size :]
+    label = np.arange(nodes.size)
+    while True:
+        low, high = np.minimum(label[u], label[v]), np.maximum(label[u], label[v])
+        open_ = low != high
+        if not open_.any():
+            break
+        u, v = u[open_], v[open_]
+        np.minimum.at(label, high[open_], low[open_])
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+    inner = label != np.arange(nodes.size)
+    return nodes[inner], nodes[label[inner]]
+
+
+def _contracted(batches):
+    u, v = [], []
+    for batch in batches:
+        u.append(batch.column(0).to_numpy())
+        v.append(batch.column(1).to_numpy())
+    node, root = roots(np.concatenate(u), np.concatenate(v)) if u else (np.zeros(0, np.int64),) * 2
+    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], ["u", "v"])
 
-    Distributed union-find by alternating large and small stars until nothing changes. Every round aggregates by
-    minimum, which combines before the shuffle, so a node with very many neighbours needs no task of its own.
+
+def components(links: DataFrame, a: str = "a", b: str = "b", *spent: DataFrame) -> DataFrame:
+    """(node, component) of every linked node; the component is its smallest node. Settled; spent as for settle.
+
+    Links are dealt to tasks, TASK_LINKS each or about that, which contract theirs to one link for each node. If that
+    took more than one task, distributed union-find by alternating large and small stars goes on until nothing changes.
+    Every round aggregates by minimum, which combines before the shuffle, so a node with very many neighbours needs no
+    task of its own.
     """
-    edges = settle(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    edges = settle(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), *spent)
+    tasks = max(1, -(-edges.count() // TASK_LINKS))
+    dealt = edges.select("u", "v").repartition(tasks) if tasks > 1 else edges.select("u", "v").coalesce(1)
+    edges = settle(dealt.mapInArrow(_contracted, "u long, v long").distinct(), edges)
     before = None
-    while True:
+    while tasks > 1:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = settle(large)
+        large = settle(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least, edges)
         least = settle(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = settle(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = settle(small.union(least.select("u", F.col("m").alias("v"))).distinct(), large, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots).distinct()
+    own = edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
+    return settle(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(own).distinct(), edges)
 
 
 def bucket_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +86,8 @@ def bucket_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = settle(ends.where("members > 1 AND a < z").select("key", "a", "z", F.col("met").bitwiseXOR(mask).alias("met"), "members"))
     members = settle(buckets.join(ends.where("members > 2").select("key", "met"), "key"))
     stars = members.where("uid != met").select(F.least("met", "uid").alias("a"), F.greatest("met", "uid").alias("b"))
-    return ends.where("members = 2").select("a", F.col("z").alias("b")).union(stars).distinct(), members.drop("met")
+    pairs = settle(ends.where("members = 2").select("a", F.col("z").alias("b")).union(stars).distinct(), ends)
+    return pairs, members
 
 
 def crossing(members: DataFrame, parts: DataFrame, ratio: float) -> tuple[DataFrame, DataFrame]:
@@ -67,8 +104,8 @@ def crossing(members: DataFrame, parts: DataFrame, ratio: float) -> tuple[DataFr
     x, y = own.where(F.col("members") <= SMALL).alias("x"), own.where(F.col("members") <= SMALL).alias("y")
     near = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(ratio - 1e-9)
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.part") != F.col("y.part")) & near)
-    pairs = pairs.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
-    return pairs, settle(own.where(F.col("members") > SMALL).select("uid", "part").distinct())
+    pairs = settle(pairs.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct())
+    return pairs, settle(own.where(F.col("members") > SMALL).select("uid", "part").distinct(), own)
 
 
 def _frequencies(batches):
@@ -118,7 +155,7 @@ def prefixed(rows: DataFrame, ratio: float) -> tuple[DataFrame, DataFrame]:
     found = settle(rows.select("uid", "part", "shingles").mapInArrow(_prefixes(often, ratio), "uid long, part long, n long, tokens array<long>, map array<long>"))
     each = found.select("uid", "part", F.explode("tokens").alias("token"))
     each = settle(each.join(_mixed(each), "token"))
-    return each, found.select("uid", "part", "n", *[F.col("map")[k].alias(f"m{k}") for k in range(LONGS)])
+    return each, settle(found.select("uid", "part", "n", *[F.col("map")[k].alias(f"m{k}") for k in range(LONGS)]), found)
 
 
 def _mixed(each: DataFrame) -> DataFrame:
@@ -146,7 +183,7 @@ def all_pairs(each: DataFrame, info: DataFrame, ratio: float) -> DataFrame:
     wide = settle(each.join(_mixed(each), "token").select("uid", "token").join(info, "uid"))
     x, y = wide.alias("x"), wide.alias("y")
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.uid") < F.col("y.uid")) & _near(ratio))
-    return pairs.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
+    return settle(pairs.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct(), wide)
 
 
 def prefix_pairs(rows: DataFrame, ratio: float) -> DataFrame:
@@ -158,27 +195,34 @@ def completed(pairs: DataFrame, links: DataFrame, members: DataFrame, sizes: flo
     """(node, component) by links and all further ones between members of one bucket; both as from bucket_pairs.
 
     sizes: the ratio that n of similar members has at least. rows_of(inside) gives (uid, part, shingles), verify(pairs)
-    the similar ones. Tokens' stars come first: they join most of what is left with as many pairs as rows, so that the
-    last step, which compares all sets of a token, has few different parts to compare.
+    the similar ones, settled. Tokens' stars come first: they join most of what is left with as many pairs as rows, so
+    that the last step, which compares all sets of a token, has few different parts to compare. All settled tables that
+    are given are deleted when nothing reads them any more.
     """
-    parts = settle(components(links))
+    parts = components(links)
     some, inside = crossing(members, parts, sizes)
-    some, each = some.join(pairs, ["a", "b"], "left_anti"), None
+    forget(members)
+    fresh, each, info = some.join(pairs, ["a", "b"], "left_anti"), None, None
     if not inside.isEmpty():
         each, info = prefixed(rows_of(inside), ratio)
-        some = some.union(star_pairs(each, info, ratio).join(pairs, ["a", "b"], "left_anti")).distinct()
-    some = settle(some)
-    if not some.isEmpty():
-        more = verify(some)
+        fresh = fresh.union(star_pairs(each, info, ratio).join(pairs, ["a", "b"], "left_anti")).distinct()
+    fresh = settle(fresh, some, inside)
+    if not fresh.isEmpty():
+        more = verify(fresh)
         if not more.isEmpty():
-            links = settle(links.union(more))
-            parts = settle(components(links))
+            links = settle(links.union(more), links, more)
+            forget(parts)
+            parts = components(links)
     if each is not None:
         own = parts.withColumnRenamed("node", "uid")
-        each, info = (x.drop("part").join(own, "uid", "left").withColumn("part", F.coalesce("component", "uid")).drop("component") for x in (each, info))
-        rest = settle(all_pairs(settle(each), settle(info), ratio).join(pairs, ["a", "b"], "left_anti").join(some, ["a", "b"], "left_anti"))
+        each, info = (settle(x.drop("part").join(own, "uid", "left").withColumn("part", F.coalesce("component", "uid")).drop("component"), x) for x in (each, info))
+        rest = settle(all_pairs(each, info, ratio).join(pairs, ["a", "b"], "left_anti").join(fresh, ["a", "b"], "left_anti"), each, info)
         if not rest.isEmpty():
             more = verify(rest)
             if not more.isEmpty():
-                parts = settle(components(links.union(more)))
+                forget(parts)
+                parts = components(links.union(more))
+            forget(more)
+        forget(rest)
+    forget(pairs, links, fresh)
     return parts

@@ -5,6 +5,8 @@ Two documents are near duplicates if their multisets' Jaccard similarity is 0.8
 components of that relation. Texts without a word, null and empty ones among them, have no shingles and are near
 duplicates only of equal texts (null equals empty). Rows of one doc_id are documents of their own, null ids too.
 Of a class the row with the smallest doc_id stays, null ids last; between rows of one doc_id, the first written.
+Whole texts are compared, however long. An empty table gives an empty result. near_duplicates reads the id and the text
+alone; drop_near_duplicates keeps all other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bagminhash
@@ -104,35 +106,43 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """(uid, doc_id, class_uid, keeper, n_shingles) of every row: the row of number keeper stays of each class."""
     ship(docs.sparkSession)
     ids = F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID))
-    signed = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    signed = signed.select("doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("md5")).mapInArrow(_sign, "doc_id long, md5 string, digest binary, n long, bands array<long>")
+    text = F.col(text_column).cast("string")
+    signed = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), _md5(text).alias("md5"))
+    signed = signed.mapInArrow(_sign, "doc_id long, md5 string, digest binary, n long, bands array<long>")
     signed = settle(signed.withColumn("uid", F.monotonically_increasing_id()))
-    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("uid"))
-    same = settle(signed.groupBy("digest").agg(F.min(own).alias("first"), F.max("n").alias("n"), F.max("bands").alias("bands")).select("digest", F.col("first.doc_id").alias("doc_id"), F.col("first.uid").alias("uid"), "n", "bands"))
-    buckets = same.where("bands IS NOT NULL").select(F.explode("bands").alias("key"), "uid", "n")
-    pairs, members = bucket_pairs(buckets)
-    pairs = settle(pairs)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("uid"), F.col("md5"))
+    same = signed.groupBy("digest").agg(F.min(own).alias("first"), F.max("n").alias("n"), F.max("bands").alias("bands"))
+    same = settle(same.select("digest", "first.doc_id", "first.uid", "first.md5", "n", "bands"))
+    pairs, members = bucket_pairs(same.where("bands IS NOT NULL").select(F.explode("bands").alias("key"), "uid", "n"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        wanted = same.join(wanted, "uid").select("uid", "digest", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
-        texts = docs.select(ids.alias("id"), F.col(text_column).cast("string").alias("text")).join(wanted, "id")
+        """(uid, shingles); one row of each digest meets the rows of its own id and text, so repeated ids bring no others."""
+        wanted = same.join(wanted, "uid").select("uid", "digest", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "md5")
+        texts = docs.select(ids.alias("id"), text.alias("text"), _md5(text).alias("md5")).join(wanted, ["id", "md5"])
         found = texts.select("uid", "text", "digest").mapInArrow(_shingled, "uid long, shingles binary").where("shingles IS NOT NULL")
         return settle(found.dropDuplicates(["uid"]))
 
     def verify(some: DataFrame) -> DataFrame:
-        return settle(verified(some, sets_of(ends_of(some)), similarity))
+        sets = sets_of(ends_of(some))
+        return settle(verified(some, sets, similarity), sets)
 
     def rows_of(inside: DataFrame) -> DataFrame:
-        return inside.join(sets_of(inside.select("uid").distinct()), "uid")
+        sets = sets_of(inside.select("uid").distinct())
+        return settle(inside.join(sets, "uid"), sets)
 
     parts = completed(pairs, verify(pairs), members, similarity, similarity, rows_of, verify)
     classes = same.join(parts.withColumnRenamed("node", "uid"), "uid", "left").select("digest", F.coalesce("component", "uid").alias("class_uid"))
-    rows = settle(signed.select("uid", "doc_id", "md5", "digest", "n").join(classes, "digest"))
+    rows = settle(signed.select("uid", "doc_id", "md5", "digest", "n").join(classes, "digest"), signed, same, parts)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("uid"))
     first = rows.groupBy("class_uid").agg(F.min(own).alias("first"), F.count("*").alias("class_size"))
     first = settle(first.select("class_uid", F.col("first.uid").alias("keeper"), F.col("first.doc_id").alias("class_id"), "class_size"))
     return rows.join(first, "class_uid").select("uid", "doc_id", "md5", "class_uid", "keeper", "class_id", "class_size", F.col("n").alias("n_shingles"))
 
 
+def _md5(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def op1_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document: doc_id, class_id (its class's smallest doc_id), class_size, n_shingles, kept."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -141,7 +151,7 @@ def op1_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with one row of each class and all its columns; rows of one id and one text count as one."""
-    key = [F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("_id"), F.md5(F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary")).alias("_md5")]
+    key = [F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("_id"), _md5(F.col(text_column).cast("string")).alias("_md5")]
     found = near_duplicates(docs.select(key[0], F.col(text_column).cast("string").alias("text")), "_id", "text")
     kept = found.where("uid = keeper").select(F.col("doc_id").alias("_id"), "md5").groupBy("_id", F.col("md5").alias("_md5")).agg(F.count("*").alias("_kept"))
     rows = found.groupBy(F.col("doc_id").alias("_id"), F.col("md5").alias("_md5")).agg(F.count("*").alias("_rows"))
