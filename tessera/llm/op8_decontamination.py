@@ -3,12 +3,15 @@
 Words are runs of digits, letters and characters beyond ASCII; A-Z are lower-cased. A window is 10 consecutive words of
 an item; an item of fewer words, but not none, is one window. Words of a document inside any occurrence are hit. Null
 and empty texts have no words; repeated rows are documents of their own; items of one text are all named. An empty
-benchmark hits nothing, an empty table gives an empty result. Null item ids cannot be named and are left out.
+benchmark hits nothing, an empty table gives an empty result. The windows of an item without an id hit words as others
+do, but the item is neither named nor counted among a document's items. contamination reads the id and the text alone;
+without_benchmark keeps all other columns, whatever their names.
 
 A task gathers documents into shards of about half a million words; a longer document is a shard of its own, and no
 document is split. A shard's words become numbers, with a separator of its own after each document, its suffixes are
 sorted by prefix doubling (only those that still tie are sorted again), the words before them are held in a wavelet
-tree, and every eighth position of the text is sampled. Nothing but the benchmark is sent to the executors, in blocks of bounded size.
+tree, and every eighth position of the text is sampled. Nothing but the benchmark is sent to the executors, in blocks of
+bounded size: a shard's index is built once and searched with each block in turn, of which a task holds one at a time.
 """
 
 from __future__ import annotations
@@ -133,29 +136,28 @@ class FMIndex:
 class Phrases:
     """A block of windows with the items they come from; picklable, of bounded size."""
 
-    def __init__(self, windows: list[bytes], items: list[str]):
+    def __init__(self, windows: list[bytes], items: list[str | None]):
         table: dict[bytes, list[int]] = {}
-        self.items = sorted(set(items))
+        self.items = sorted({x for x in items if x is not None})
         number = {x: k for k, x in enumerate(self.items)}
         for w, x in zip(windows, items):
-            table.setdefault(w, []).append(number[x])
+            own = table.setdefault(w, [])
+            if x is not None:
+                own.append(number[x])
         self.lengths = np.array([len(w) // 8 for w in table], np.int64)
         self.words = np.zeros((len(table), WINDOW), np.uint64)
         for k, w in enumerate(table):
             self.words[k, WINDOW - len(w) // 8 :] = np.frombuffer(w, np.uint64)
         self.owners = list(table.values())
 
-    def hits(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[set[str]]]:
-        """(hit or not of every word, items of every document) of one shard."""
-        docs = first.size - 1
-        hit, items = np.zeros(hashes.size, bool), [set() for _ in range(docs)]
-        if not hashes.size or not self.lengths.size:
-            return hit, items
-        index = FMIndex(hashes, first)
+    def mark(self, index: FMIndex, hit: np.ndarray, items: list[set[str]]) -> None:
+        """Adds to hit the words of a shard, and to items the items of its documents, that this block's windows find."""
+        if not hit.size or not self.lengths.size:
+            return
         lo, hi = index.search(self.words, self.lengths)
         found = np.flatnonzero(hi > lo)
         if not found.size:
-            return hit, items
+            return
         count = (hi - lo)[found]
         ends = np.cumsum(count)
         places = np.repeat(lo[found] - (ends - count), count) + np.arange(ends[-1])
@@ -163,12 +165,23 @@ class Phrases:
         at = index.locate(places)
         doc = np.searchsorted(index.starts, at, "right") - 1
         word = at - doc
-        edge = np.bincount(word, minlength=hashes.size + 1) - np.bincount(word + self.lengths[window], minlength=hashes.size + 1)
-        hit = np.cumsum(edge)[:-1] > 0
+        edge = np.bincount(word, minlength=hit.size + 1) - np.bincount(word + self.lengths[window], minlength=hit.size + 1)
+        hit |= np.cumsum(edge)[:-1] > 0
         pairs = np.unique(doc * self.lengths.size + window)
         for d, w in zip((pairs // self.lengths.size).tolist(), (pairs % self.lengths.size).tolist()):
             items[d].update(self.items[x] for x in self.owners[w])
-        return hit, items
+
+
+def hits(blocks: list, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[set[str]]]:
+    """(hit or not of every word, items of every document) of one shard, by all blocks (broadcast Phrases)."""
+    hit, items = np.zeros(hashes.size, bool), [set() for _ in range(first.size - 1)]
+    if hashes.size and blocks:
+        index = FMIndex(hashes, first)
+        for block in blocks:
+            block.value.mark(index, hit, items)
+            if len(blocks) > 1:
+                block.__dict__.pop("_value", None)  # read again from the worker's file when it is needed again
+    return hit, items
 
 
 def _windows(batches):
@@ -178,7 +191,7 @@ def _windows(batches):
             rows = []
             for k, item in enumerate(batch.column(0).slice(at, n).to_pylist()):
                 own = hashes[first[k] : first[k + 1]]
-                if item is not None and own.size:
+                if own.size:
                     size = min(WINDOW, own.size)
                     rows += [(item, own[j : j + size].tobytes()) for j in range(own.size - size + 1)]
             item, window = zip(*rows) if rows else ((), ())
@@ -205,21 +218,19 @@ def _shards(batches, column: int):
             yield batch, at, n, hashes, first, starts, ends, offsets, data
 
 
-def _search(phrases):
+def _edges(hit: np.ndarray) -> list[int]:
+    """[start, end, start, end, ...] of the runs of hit words."""
+    return np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).tolist()
+
+
+def _search(blocks):
     def run(batches):
         for batch, at, n, hashes, first, *_ in _shards(batches, 1):
-            hit, items = phrases.value.hits(hashes, first)
-            old_spans, old_items = batch.column(2).slice(at, n).to_pylist(), batch.column(3).slice(at, n).to_pylist()
-            spans = []
-            for k in range(n):
-                own = hit[first[k] : first[k + 1]].copy()
-                for a, b in zip(old_spans[k][::2], old_spans[k][1::2]):
-                    own[a:b] = True
-                spans.append(np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]]))).tolist() if own.any() else [])
-                items[k].update(old_items[k])
+            hit, items = hits(blocks, hashes, first)
+            spans = [_edges(hit[a:b]) if b > a else [] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(np.diff(first), pa.int64())],
-                ["doc_id", "text", "spans", "items", "n_words"],
+                [batch.column(0).slice(at, n), pa.array(np.diff(first), pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                ["doc_id", "n_words", "spans", "items"],
             )
 
     return run
@@ -230,26 +241,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = rows.withColumns({"spans": F.array().cast("array<long>"), "items": F.array().cast("array<string>")})
-    blocks = list(phrase_blocks(benchmark)) or [docs.sparkSession.sparkContext.broadcast(Phrases([], []))]
-    for k, block in enumerate(blocks):
-        rows = (settle(rows) if k else rows).select("doc_id", "text", "spans", "items").mapInArrow(_search(block), f"doc_id {kind}, text string, spans array<long>, items array<string>, n_words long")
-    return rows.select("doc_id", "n_words", "spans", "items")
-
-
-def _without(phrases):
-    def run(batches):
-        for batch in batches:
-            texts = {}
-            for _, at, n, hashes, first, starts, ends, offsets, data in _shards([batch], 0):
-                hit, _ = phrases.value.hits(hashes, first)
-                for k in np.flatnonzero(np.add.reduceat(np.append(hit, False), first[:-1]) * (np.diff(first) > 0)).tolist():
-                    texts[at + k] = _cut(phrases.value, data[offsets[k] : offsets[k + 1]].tobytes(), hit[first[k] : first[k + 1]], starts[first[k] : first[k + 1]] - offsets[k], ends[first[k] : first[k + 1]] - offsets[k])
-            whole = batch.column(0).to_pylist()
-            out = [texts.get(k, x) for k, x in enumerate(whole)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array([k in texts for k in range(len(out))], pa.bool_()), *batch.columns[1:]], ["_text", "_cut", *batch.schema.names[1:]])
-
-    return run
+    return rows.mapInArrow(_search(list(phrase_blocks(benchmark))), f"doc_id {kind}, n_words long, spans array<long>, items array<string>")
 
 
 def _left(text: bytes, edge, starts, ends) -> bytes:
@@ -261,62 +253,55 @@ def _left(text: bytes, edge, starts, ends) -> bytes:
     return b"".join([*keep, text[at:]])
 
 
-def _shortened(batches):
-    """(doc_id, text) of (doc_id, text, spans): the texts without their spans."""
-    for batch in batches:
-        for _, at, n, _, first, starts, ends, offsets, data in _shards([batch], 1):
-            out = []
-            for k, spans in enumerate(batch.column(2).slice(at, n).to_pylist()):
-                a, b = first[k], first[k + 1]
-                out.append(_left(data[offsets[k] : offsets[k + 1]].tobytes(), spans, starts[a:b] - offsets[k], ends[a:b] - offsets[k]).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(out, pa.string())], ["doc_id", "text"])
+def _cut(blocks, shard) -> dict[int, bytes]:
+    """Of the rows of a shard that are hit: what is left when nothing more is found in what is left."""
+    out: dict[int, bytes] = {}
+    _, _, n, hashes, first, starts, ends, offsets, data = shard
+    rows = list(range(n))
+    while rows:
+        hit, _ = hits(blocks, hashes, first)
+        again = []
+        for k, row in enumerate(rows):
+            a, b = first[k], first[k + 1]
+            if b > a and hit[a:b].any():
+                out[row] = _left(data[offsets[k] : offsets[k + 1]].tobytes(), _edges(hit[a:b]), starts[a:b] - offsets[k], ends[a:b] - offsets[k])
+                again.append(row)
+        rows = again
+        if rows:
+            offsets = np.concatenate([[0], np.cumsum([len(out[r]) for r in rows])])
+            data = np.frombuffer(b"".join([*(out[r] for r in rows), bytes(8)]), np.uint8)
+            hashes, first, starts, ends = hashed_words(offsets, data)
+    return out
 
 
-def _cut(phrases: Phrases, text: bytes, hit, starts, ends) -> str:
-    """text without its hit words and what stands between them, again until what is left holds no window."""
-    while hit.any():
-        text = _left(text, np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))), starts, ends)
-        data = np.concatenate([np.frombuffer(text, np.uint8), np.zeros(8, np.uint8)])
-        offsets = np.array([0, len(text)])
-        hashes, first, starts, ends = hashed_words(offsets, data)
-        hit, _ = phrases.hits(hashes, first)
-    return text.decode()
+def _without(blocks):
+    def run(batches):
+        for batch in batches:
+            texts = {}
+            for _, *shard in _shards([batch], 0):
+                texts |= {shard[0] + k: x.decode() for k, x in _cut(blocks, (None, *shard)).items()}
+            whole = batch.column(0).to_pylist()
+            out = [texts.get(k, x) for k, x in enumerate(whole)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array([k in texts for k in range(len(out))], pa.bool_()), *batch.columns[1:]], ["_text", "_cut", *batch.schema.names[1:]])
+
+    return run
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
     """docs without the benchmark's passages; a document of which only white space is left is dropped.
 
-    All words hit by any window go at once, and what is left is searched again, until it holds no window. One block of
-    windows does that where the document is; with more, every block has searched a text before any of it is cut.
+    All words hit by any window of any block go at once, and what is left is searched again, until it holds no window.
     """
     ship(docs.sparkSession)
     blocks, names = list(phrase_blocks(benchmark)), docs.columns
     if not blocks:
         return docs
-    text, others = F.col(f"`{text_column}`").cast("string"), [F.col(f"`{c}`").alias(f"_c{j}") for j, c in enumerate(names) if c != text_column]
-    if len(blocks) > 1:
-        rows = _without_all(docs.select(F.struct(F.lit(0).alias("_"), *others).alias("doc_id"), text.alias("text")), blocks)
-        return rows.select(*[(F.col("text") if c == text_column else F.col(f"doc_id._c{j}")).alias(c) for j, c in enumerate(names)])
-    renamed = docs.select(text.alias("_own"), *others)
+    renamed = docs.select(F.col(f"`{text_column}`").cast("string").alias("_own"), *[F.col(f"`{c}`").alias(f"_c{j}") for j, c in enumerate(names) if c != text_column])
     kinds = ", ".join(["_text string", "_cut boolean", *(f"{f.name} {f.dataType.simpleString()}" for f in renamed.schema.fields[1:])])
-    cut = renamed.mapInArrow(_without(blocks[0]), kinds).where("NOT _cut OR _text RLIKE '[^\\\\s]'")
+    cut = renamed.mapInArrow(_without(blocks), kinds).where("NOT _cut OR _text RLIKE '[^\\\\s]'")
     return cut.select(*[(F.col("_text") if c == text_column else F.col(f"_c{j}")).alias(c) for j, c in enumerate(names)])
 
 
-def _without_all(rows: DataFrame, blocks: list) -> DataFrame:
-    """(doc_id, text) without what any block's windows hit; only texts that were cut are searched once more."""
-    kind, out = rows.schema["doc_id"].dataType.simpleString(), None
-    while True:
-        rows = rows.withColumns({"spans": F.array().cast("array<long>"), "items": F.array().cast("array<string>")})
-        for block in blocks:
-            rows = settle(rows.select("doc_id", "text", "spans", "items").mapInArrow(_search(block), f"doc_id {kind}, text string, spans array<long>, items array<string>, n_words long"))
-        clean, hit = rows.where("size(spans) = 0").select("doc_id", "text"), rows.where("size(spans) > 0")
-        out = clean if out is None else out.union(clean)
-        if hit.isEmpty():
-            return out
-        rows = hit.select("doc_id", "text", "spans").mapInArrow(_shortened, f"doc_id {kind}, text string").where("text RLIKE '[^\\\\s]'")
-
-
 def op8_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -330,7 +315,7 @@ def op8_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".replace("\\\\", "\\")
 OP8_SQL = f"""
 WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
-i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SQL_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SQL_WORDS} AS w FROM benchmark),
 win AS (SELECT DISTINCT item, array_to_string(w[k : k + least(10, len(w)) - 1], ' ') AS win, least(10, len(w)) AS n
         FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)),
 size AS (SELECT DISTINCT n FROM win),
@@ -338,7 +323,7 @@ occ AS (SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS win
         FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, size WHERE len(w) >= n)),
 hit AS (SELECT doc_id, k, o.n, item FROM occ o JOIN win USING (win, n)),
 word AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT doc_id, k, n FROM hit)) GROUP BY doc_id),
-item AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+item AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit WHERE item IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)
