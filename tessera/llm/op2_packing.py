@@ -2,15 +2,16 @@
 
 A document is its byte-level BPE ids and the id 2; a null text is an empty one, so every row has one token at least.
 One of more than 1024 tokens is cut into pieces of 1024, of which the first may be shorter. Rows are packed one by one,
-whatever their ids: repeated ids, null ids and equal texts are all packed. An empty table gives an empty result.
-
-How it scales. Pieces are sorted by (length, task, place in the task), and that order is kept run-length coded: as one
-count for each length, 1024 at most. Gaps are kept alike, as runs of sequence numbers by room left. One superstep takes
-all pieces of one length, longest first, sweeps to the successor among the gaps (the least room that holds the length),
-resolves by rank which piece gets which of the gap's sequences, updates the gaps, and repeats until no piece of that
-length is left. What comes out is a list of placements (length, range of ranks, first sequence, offset), which is
-bounded by the lengths and not by the rows. Pieces get their rank from per-task counts and look their placement up
-where they are; no text and no piece passes through the driver.
+whatever their ids: repeated ids, null ids and equal texts are all packed. An empty table gives an empty result. Only
+the id and the text are read, so other columns may have any names.
+
+How it scales. In a superstep the pieces are dealt to tasks by a hash of their place in the input, about SHARD_PIECES to
+a task. Each task sorts its own by length and sweeps: all pieces of one length, longest first, go to the successor among
+the gaps (the least room that holds the length); which piece gets which of the gap's sequences is resolved by rank; the
+gaps are updated, and so on until no piece is left. Pieces and gaps are kept run-length coded in the sweep, as counts by
+length and runs of sequences by room. Between supersteps the sequences that a task could not fill are opened again, and
+their pieces are dealt anew to fewer tasks, until one task has them all or a superstep would deal to as many tasks as the
+last. No text and no piece passes through the driver; no task holds more than its share.
 """
 
 from __future__ import annotations
@@ -21,13 +22,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ids_of, tokenizer_path
 from .common import settle, ship, table
 
 ROOM, END = 1024, 2
+SHARD_PIECES = 1 << 16
+#: A sequence that is filled less than this is opened again in the next superstep.
+FULL = 0.97
 
 
 def pieces_of(total: int, room: int = ROOM) -> list[tuple[int, int]]:
@@ -95,23 +99,28 @@ def best_fit(counts: dict[int, int], room: int = ROOM) -> list[tuple[int, int, i
     return out
 
 
-def _place(plan: list[tuple]):
-    lengths, ranks, counts, firsts, eachs, offsets = (np.array(c, np.int64) for c in zip(*plan))
-    base = {int(length): int(np.searchsorted(lengths, length)) for length in np.unique(lengths)}
-    last = {k: v + int(np.count_nonzero(lengths == k)) for k, v in base.items()}
-
-    def run(batches):
-        for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
-            at = np.zeros(length.size, np.int64)
-            for one in np.unique(length):
-                of = length == one
-                a, b = base[int(one)], last[int(one)]
-                at[of] = a + np.searchsorted(ranks[a:b], rank[of], "right") - 1
-            within = rank - ranks[at]
-            keep = [batch.column(k) for k in range(batch.num_columns - 1)]
-            names = batch.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(firsts[at] + within // eachs[at]), pa.array(offsets[at] + within % eachs[at] * length)], [*names, "sequence_id", "offset"])
+def placed(lengths: np.ndarray, room: int = ROOM) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of pieces of these lengths; among pieces of one length their order is their rank."""
+    order = np.argsort(lengths, kind="stable")
+    own, counts = np.unique(lengths, return_counts=True)
+    plan = np.array(sorted(best_fit(dict(zip(own.tolist(), counts.tolist())), room)), np.int64).reshape(-1, 6)
+    _, _, n, first, each, offset = plan.T  # by length, then by rank: in the order of `order`
+    at = np.repeat(np.arange(n.size), n)
+    within = np.arange(lengths.size) - np.repeat(np.cumsum(n) - n, n)
+    sequence, place = np.empty(lengths.size, np.int64), np.empty(lengths.size, np.int64)
+    sequence[order] = first[at] + within // each[at]
+    place[order] = offset[at] + within % each[at] * lengths[order]
+    return sequence, place
+
+
+def _swept(room: int, step: int):
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("part", "ascending"), ("length", "ascending"), ("nth", "ascending")])  # whatever the order in which rows came
+        lengths, shard = rows["length"].to_numpy(), rows["shard"][0].as_py()
+        sequence, offset = placed(lengths, room)
+        fill = np.bincount(sequence, lengths).astype(np.int64)[sequence]
+        keep = rows.drop_columns(["shard"])
+        return keep.append_column("sequence_id", pa.array(sequence + (step << 56) + (shard << 32))).append_column("offset", pa.array(offset)).append_column("fill", pa.array(fill))
 
     return run
 
@@ -121,18 +130,19 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     ship(docs.sparkSession)
     kept = f"doc_id {docs.schema[id_column].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
     cut = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    cut = settle(cut.mapInArrow(_cut(tokenizer or tokenizer_path(), room, end), f"{kept}, part long, nth long"))
-    by_part = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    by_part = settle(by_part.withColumn("before", F.coalesce(before, F.lit(0))))
-    counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # room rows at most
-    plan = sorted(best_fit(counts, room))
-    out = f"{kept}, sequence_id long, offset long"
-    if not plan:
-        return docs.sparkSession.createDataFrame([], out)
-    ranked = cut.join(by_part.select("length", "part", "before"), ["length", "part"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(_place(plan), out)
+    left = settle(cut.mapInArrow(_cut(tokenizer or tokenizer_path(), room, end), f"{kept}, part long, nth long"))
+    columns, out = left.columns, None
+    shards, step = -(-left.count() // SHARD_PIECES), 0
+    while shards:
+        dealt = left.withColumn("shard", F.pmod(F.xxhash64("part", "length", "nth", F.lit(step)), F.lit(shards)).cast("int"))
+        found = settle(dealt.groupBy("shard").applyInArrow(_swept(room, step), f"{kept}, part long, nth long, sequence_id long, offset long, fill long"), left)
+        again = found.where(F.col("fill") < int(room * FULL))
+        fewer = -(-again.count() // SHARD_PIECES) if shards > 1 else 0
+        open_ = 0 < fewer < shards
+        done = (found.where(F.col("fill") >= int(room * FULL)) if open_ else found).drop("part", "nth", "fill")
+        out = done if out is None else out.union(done)
+        left, shards, step = again.select(columns), fewer if open_ else 0, step + 1
+    return out if out is not None else docs.sparkSession.createDataFrame([], f"{kept}, sequence_id long, offset long")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
