@@ -2,12 +2,16 @@
 
 Texts are equal if they are identical after each run of white space ([\\x20\\x09-\\x0D]+) becomes one space; null counts
 as empty. Of equal texts the row with the smallest doc_id stays (null ids come last; of rows of one id, the first
-written). Repeated rows are rows of their own. An empty table gives an empty result.
+written). Repeated rows are rows of their own. An empty table gives an empty result. Only the id and the text are read,
+so other columns may have any names.
 
 A text's bytes are cut into chunks; each chunk's polynomial hash is taken modulo two primes, and the chunks' hashes
-combine as hash(A + B) = hash(A) * r^len(B) + hash(B), so chunks may be hashed in any order, on any machine. Rows whose
-fingerprint and length agree are compared with the group's first row chunk by chunk: the join is on (first row, chunk),
-so no task holds a group or a whole text. Rows that differ in spite of an equal fingerprint form groups of their own.
+combine as hash(A + B) = hash(A) * r^len(B) + hash(B), so chunks may be hashed in any order, on any machine. Texts of more
+than HUGE characters become rows of HUGE characters, which all tasks hash in parallel; an aggregate joins their hashes,
+and where white space meets at a seam takes one of the two spaces away again. Rows whose fingerprint and length agree
+are compared with the group's first row chunk by chunk: the join is on (first row, chunk, salt), where a group has a salt
+for every SALT_ROWS rows, so no task holds a group, all copies of a chunk, or a whole text. Rows that differ in spite of
+an equal fingerprint form groups of their own.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import settle, ship, table
 
-CHUNK = 1 << 16
+CHUNK, HUGE, SALT_ROWS = 1 << 16, 1 << 22, 500
 PRIMES, BASES = (2147483647, 2147483629), (1103515245, 1220703125)
 _WHITE = re.compile(rb"[\x09-\x0d][\x20\x09-\x0d]*|\x20[\x20\x09-\x0d]+")
 _BLOCK = 4096
@@ -86,13 +90,78 @@ def _digest(primes, bases):
     return run
 
 
+def _piece_hashes(primes, bases):
+    """(text_no, nth, size, head, tail, and for each prime hash f, power p = r^size, power q = r^(size - 1)) of pieces."""
+
+    def run(batches):
+        fingerprint = Fingerprint(primes, bases)
+        for batch in batches:
+            rows = []
+            for text_no, nth, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                data = normalised(piece.as_buffer().to_pybytes())
+                powers = [x for h, p, r in zip(fingerprint.whole(data), primes, bases) for x in (h, pow(r, len(data), p), pow(r, len(data) - 1, p))]
+                rows.append((text_no, nth, len(data), data[:1] == b" ", data[-1:] == b" ", *powers))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), *[pa.int64()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 11, kinds)], ["text_no", "nth", "size", "head", "tail", "f1", "p1", "q1", "f2", "p2", "q2"])
+
+    return run
+
+
+def _sha(batches):
+    for batch in batches:
+        sha = [hashlib.sha256(normalised(x.as_buffer().to_pybytes())).hexdigest() for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sha, pa.string())], ["text_no", "sha"])
+
+
+def _joined(primes):
+    """Folds a text's sorted pieces into (f1, f2, size): each step appends a piece, without its first space at a seam of two."""
+    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("f1", "f2", "size")], F.lit(False).alias("tail"))
+
+    def step(a, x):
+        seam = (a["tail"] & x["head"]).cast("long")
+        out = []
+        for k, p in zip("12", primes):
+            power = F.when(seam == 1, x[f"q{k}"]).otherwise(x[f"p{k}"])
+            out.append(F.pmod(a[f"f{k}"] * power + x[f"f{k}"] - seam * ((F.lit(32) * x[f"q{k}"]) % F.lit(p)), F.lit(p)).alias(f"f{k}"))
+        return F.struct(*out, (a["size"] + x["size"] - seam).alias("size"), x["tail"].alias("tail"))
+
+    return F.aggregate("pieces", zero, step)
+
+
+def _huge_digests(huge: DataFrame, primes, bases) -> DataFrame:
+    """(doc_id, f1, f2, size, sha) of texts that are hashed piece by piece."""
+    rows = settle(huge.withColumn("text_no", F.monotonically_increasing_id()))
+    pieces = rows.select("text_no", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length("text") - 1) / HUGE))).alias("nth"), "text")
+    pieces = pieces.select("text_no", "nth", F.substring("text", (F.col("nth") * HUGE + 1).cast("int"), F.lit(HUGE)).alias("piece")).repartition("text_no", "nth")
+    kinds = "text_no long, nth long, size long, head boolean, tail boolean, f1 long, p1 long, q1 long, f2 long, p2 long, q2 long"
+    hashed = pieces.mapInArrow(_piece_hashes(primes, bases), kinds)
+    each = F.struct("nth", *[c for c in hashed.columns if c not in ("text_no", "nth")])
+    joined = hashed.groupBy("text_no").agg(F.array_sort(F.collect_list(each)).alias("pieces")).select("text_no", _joined(primes).alias("x"))
+    sha = rows.select("text_no", "text").mapInArrow(_sha, "text_no long, sha string")
+    return rows.select("doc_id", "text_no").join(joined, "text_no").join(sha, "text_no").select("doc_id", "x.f1", "x.f2", "x.size", "sha")
+
+
 def _chunks(batches):
-    """(uid, lead, nth, chunk) of the rows (uid, lead, text, f1, f2, size) whose text has that fingerprint still."""
+    """(uid, lead, nth, salt, chunk) of the rows (uid, lead, salts, text); the lead has its chunks under every salt."""
     for batch in batches:
-        for uid, lead, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+        out, size = [], 0
+        for uid, lead, salts, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
             data = normalised(text.as_buffer().to_pybytes() if text.is_valid else b"")
-            parts = [data[at : at + CHUNK] for at in range(0, len(data), CHUNK)] or [b""]
-            yield pa.RecordBatch.from_arrays([pa.array([uid] * len(parts), pa.int64()), pa.array([lead] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["uid", "lead", "nth", "chunk"])
+            own = range(salts) if uid == lead else (uid % salts,)
+            for nth, at in enumerate(range(0, max(len(data), 1), CHUNK)):
+                for salt in own:
+                    out.append((uid, lead, nth, salt, data[at : at + CHUNK]))
+                    size += len(out[-1][-1])
+                    if size > 1 << 22:
+                        yield _chunk_batch(out)
+                        out, size = [], 0
+        if out:
+            yield _chunk_batch(out)
+
+
+def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["uid", "lead", "nth", "salt", "chunk"])
 
 
 def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", primes=PRIMES, bases=BASES) -> DataFrame:
@@ -104,10 +173,12 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     text = F.col(text_column).cast("string")
     rows = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    digest = rows.mapInArrow(_digest(primes, bases), f"doc_id {kind}, f1 long, f2 long, size long, sha string")
+    long_ = F.coalesce(F.length("text"), F.lit(0)) > HUGE
+    digest = rows.where(~long_).mapInArrow(_digest(primes, bases), f"doc_id {kind}, f1 long, f2 long, size long, sha string")
+    digest = digest.union(_huge_digests(rows.where(long_), primes, bases))
     digest = settle(digest.withColumn("uid", F.monotonically_increasing_id()))
     groups = digest.groupBy("f1", "f2", "size").agg(F.min("uid").alias("lead"), F.count("*").alias("n"))
-    member = settle(digest.join(groups, ["f1", "f2", "size"]).select("uid", "doc_id", "f1", "f2", "size", "sha", "lead", "n"))
+    member = settle(digest.join(groups, ["f1", "f2", "size"]).select("uid", "doc_id", "f1", "f2", "size", "sha", "lead", "n"), digest)
     open_rows = member.where("n > 1")
     if open_rows.isEmpty():
         return member.drop("n")
@@ -122,11 +193,14 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     ids = open_rows.select("uid", "lead", "doc_id", "sha")
     sources = ids.join(wanted.withColumnRenamed("sha", "_s"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("_s"))).select("uid", "lead", "text_uid")
     sources = settle(sources)
+    salts = F.ceil(F.col("members") / SALT_ROWS).alias("salts")
     settled = member.where("n = 1").drop("n")
     while True:
-        chunks = sources.select("text_uid", "uid", "lead").join(texts, "text_uid").select("uid", "lead", "text").mapInArrow(_chunks, "uid long, lead long, nth int, chunk binary")
-        first = chunks.where("uid = lead").select("lead", "nth", F.col("chunk").alias("other"))
-        differ = settle(chunks.where("uid != lead").join(first, ["lead", "nth"]).where("chunk != other").select("uid").distinct())
+        sizes = sources.groupBy("lead").agg(F.count("*").alias("members")).select("lead", salts)
+        chunks = sources.select("text_uid", "uid", "lead").join(sizes, "lead").join(texts, "text_uid").select("uid", "lead", "salts", "text")
+        chunks = chunks.mapInArrow(_chunks, "uid long, lead long, nth int, salt long, chunk binary")
+        first = chunks.where("uid = lead").select("lead", "nth", "salt", F.col("chunk").alias("other"))
+        differ = settle(chunks.where("uid != lead").join(first, ["lead", "nth", "salt"]).where("chunk != other").select("uid").distinct())
         if differ.isEmpty():
             return settled.union(open_rows.select(settled.columns))
         settled = settle(settled.union(open_rows.join(differ, "uid", "left_anti").select(settled.columns)))
