@@ -8,7 +8,8 @@ bytes and crc32 0. Repeated rows each get a slot. An empty table gives an empty
 A slot is a record's place in its shard. Records are dealt by a hash of their content into chunks of a shard, the
 chunks' sizes are summed up in order, and a record's slot is its chunk's start plus its place in the chunk; so no window
 spans a shard, and what is summed up in order is a few rows a chunk. Rows that are equal in everything may be many and
-fall into one chunk: they are counted first and numbered by explode, not by a window.
+fall into one chunk: they are counted first and numbered by explode, not by a window; more than BLOCK_ROWS of them in
+blocks, which are dealt to all tasks. Only the id and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import settle, table
 
-SHARDS, CHUNK_ROWS, OVERHEAD = 24, 50_000, 8
+SHARDS, CHUNK_ROWS, BLOCK_ROWS, OVERHEAD = 24, 50_000, 10_000, 8
 
 
 def _draw(key: Column, shard: Column, weight: Column) -> Column:
@@ -50,8 +51,14 @@ def shard(docs: DataFrame, weights: list[float], grown: list[float] | None = Non
     sizes = sizes.select("shard", "chunk", F.coalesce(before, F.lit(0)).alias("start"))
     inside = F.sum("n").over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1))
     placed = counted.withColumn("inside", F.coalesce(inside, F.lit(0))).join(sizes, ["shard", "chunk"])
-    slots = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
-    out = placed.select("doc_id", "size", "text_crc32", "shard", "grown_shard", (F.col("start") + F.col("inside")).alias("from"), slots.alias("nth"))
+    placed = settle(placed.select("doc_id", "size", "text_crc32", "shard", "grown_shard", (F.col("start") + F.col("inside")).alias("from"), "n"), counted)
+    own = ["doc_id", "size", "text_crc32", "shard", "grown_shard"]
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    blocks = placed.where(F.col("n") > BLOCK_ROWS).select("*", upto(F.ceil(F.col("n") / BLOCK_ROWS)).alias("block"))
+    blocks = blocks.select(*own, (F.col("from") + F.col("block") * BLOCK_ROWS).alias("from"), F.least(F.lit(BLOCK_ROWS).cast("long"), F.col("n") - F.col("block") * BLOCK_ROWS).alias("n"))
+    blocks = blocks.repartition(F.xxhash64("from", "shard"))
+    every = placed.where(F.col("n") <= BLOCK_ROWS).select(*own, "from", "n").union(blocks)
+    out = every.select(*own, "from", upto(F.col("n")).alias("nth"))
     return out.select("doc_id", "size", "text_crc32", "shard", (F.col("from") + F.col("nth")).alias("slot"), "grown_shard")
 
 
