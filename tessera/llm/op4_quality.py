@@ -1,11 +1,11 @@
 """Text quality by a factorisation machine over hashed words, structure statistics and the text's size.
 
 score = sigmoid(w0 + sum w x + 1/2 sum_f ((sum v_f x)^2 - sum v_f^2 x^2)), in time linear in a text's distinct words.
-It is learned from labels.quality of rows whose crc32(doc_id as text) mod 3 is not 1, at most MAX_TRAIN of them, chosen
-by a hash of doc_id; label, language, source and doc_id are no inputs. Every text is read whole. A null text is an empty
+It is learned from labels.quality of rows whose crc32(doc_id as text) mod 3 is not 1; of more than MAX_TRAIN labels about
+that many, chosen by a hash of doc_id, and one text of each doc_id, the smallest; label, language, source and doc_id are no inputs. Every text is read whole. A null text is an empty
 one and gets the score of one; a null doc_id has the remainder 0 and is never learned from. A doc_id with several labels
 counts as 1 if most of them are. Repeated rows are scored alike. Without any label every score is 0.5. An empty table
-gives an empty result.
+gives an empty result. score_quality reads the id and the text alone; keep_good keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -129,12 +129,17 @@ def _gathered(batches):
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Machine | None:
-    """The machine of at most MAX_TRAIN labelled rows that are not held out; their features alone reach the driver."""
+    """The machine of about MAX_TRAIN labelled rows that are not held out; their features alone reach the driver.
+
+    A threshold on a hash chooses them, so no task sorts all labels; what is broadcast has about MAX_TRAIN rows.
+    """
     ship(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
+    share = min(1.0, MAX_TRAIN / max(1, known.select("doc_id").distinct().count()))
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
     known = known.groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("label"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("text", "label")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("x")).select("x.text", "x.label")
     rows = rows.mapInArrow(_gathered, "label int, buckets binary, values binary, stats binary").collect()
     if not rows:
         return None
