@@ -2,11 +2,11 @@
 
 The n-grams are the runs of 1, 2 and 3 characters of the lower-cased text, with every run of characters that are no
 letters as one blank; a blank alone is none. Counts come from text and lang of rows whose crc32(doc_id as text) mod 3 is
-not 1 and whose lang and text are not null, at most MAX_TRAIN of them, chosen by a hash of doc_id; lang, source and
-doc_id are no inputs. Each text is read whole. `score` is the posterior probability of the answer. Null texts and texts
+not 1 and whose lang and text are not null; of more than MAX_TRAIN about that many, chosen by a hash of doc_id; lang,
+source and doc_id are no inputs. Each text is read whole. `score` is the posterior probability of the answer. Null texts and texts
 without a letter are `und` with the score 0, and so is every text if there is nothing to learn from. A null doc_id has
 the remainder 0 and is never learned from. Repeated rows are answered alike; ties go to the language first in order.
-An empty table gives an empty result.
+An empty table gives an empty result. Only the named columns are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -71,29 +71,34 @@ def _counted(batches):
             langs = batch.column(0).slice(at, len(texts)).to_pylist()
             for lang in set(langs):
                 own = np.array([x == lang for x in langs])
-                counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                counts[lang] += np.bincount(bucket[own[row]], minlength=BUCKETS)
+                counts.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
+                counts[lang] += np.bincount(bucket[own[row]], minlength=BUCKETS + 1)
+                counts[lang][BUCKETS] += np.count_nonzero(own)
     for lang, count in counts.items():
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * at.size, pa.string()), pa.array(at, pa.int32()), pa.array(count[at], pa.int64())], ["lang", "bucket", "n"])
 
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, their log probabilities by bucket, priors last): as many columns as languages, BUCKETS + 1 rows."""
+    """(languages, their log probabilities by bucket, priors last): as many columns as languages, BUCKETS + 1 rows.
+
+    Which rows are learned from is a threshold on a hash, so no task sorts or gathers them; a repeated doc_id brings all
+    of its rows, which are only counted.
+    """
     ship(docs.sparkSession)
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    some = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(MAX_TRAIN)
-    ids = some.select("doc_id").distinct()
-    rows = known.join(F.broadcast(ids), "doc_id").select("lang", "text")
+    share = min(1.0, MAX_TRAIN / max(1, known.count()))
+    rows = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select(F.col("lang").cast("string"), F.col("text").cast("string"))
     counts = rows.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    sizes = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted({r["lang"] for r in counts})
     place = {x: k for k, x in enumerate(langs)}
-    table = np.full((BUCKETS, len(langs)), SMOOTHING)
+    table = np.zeros((BUCKETS + 1, len(langs)))
     for r in counts:
         table[r["bucket"], place[r["lang"]]] += r["n"]
-    prior = np.array([sizes.get(x, 0) + 1.0 for x in langs])
-    return langs, np.vstack([np.log(table / table.sum(axis=0)), np.log(prior / prior.sum())]).astype(np.float64) if langs else np.zeros((BUCKETS + 1, 0))
+    if not langs:
+        return [], table
+    grams_, prior = table[:BUCKETS] + SMOOTHING, table[BUCKETS] + 1.0
+    return langs, np.vstack([np.log(grams_ / grams_.sum(axis=0)), np.log(prior / prior.sum())])
 
 
 def _answered(langs, logs):
