@@ -14,6 +14,7 @@ result; other columns of the table are not read.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 import zlib
@@ -28,7 +29,8 @@ from .common import ship, table
 PATHS, WORDS, STATS, HIDDEN = 512, 128, 7, 16
 INPUTS = PATHS + WORDS + STATS
 PRACTICE_PAGES, EPOCHS, BATCH_BLOCKS = 1500, 16, 20_000
-_TAG = re.compile(r"""<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
+#: Quotes enclose a value where it begins with one; elsewhere, as in title=it's, they are characters of it.
+_TAG = re.compile(r"""<([a-zA-Z][^\s/>]*)((?:[\s/]++|=?+[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+|=++)*+)>""")
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in ("script", "style", "title", "textarea", "iframe", "xmp", "noembed", "noframes")}
@@ -376,8 +378,9 @@ def practice(seed: int) -> tuple[str, set[str]]:
     return f"<html><head><title>{words(1, 5)}</title></head><body>{''.join(above)}{whole}{''.join(below)}{pick(['', '</body></html>'])}", kept
 
 
+@functools.cache
 def learn(pages: int = PRACTICE_PAGES) -> Labeller:
-    """The labeller of that many practice pages; always the same for the same number."""
+    """The labeller of that many practice pages; always the same for the same number, and learned once in a process."""
     blocks, labels = [], []
     for k in range(pages):
         page, kept = practice(k)
