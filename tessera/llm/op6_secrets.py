@@ -4,13 +4,14 @@ Base matches are those of the kinds `assign`, `access` and `hex` below, leftmost
 spans are in code points of the whole text. Each kind's matched credentials, at most EXAMPLES of them from a sample of
 about SAMPLE_DOCS documents chosen by a hash of doc_id, label a format; its probabilistic automaton is inferred by
 merging a prefix tree's states. Every run of [A-Za-z0-9+/_=-] with a digit and a letter, outside base matches, is a
-candidate if it has MIN_RUN characters or as many as the shortest example of a kind. It becomes a span of kind `format`
+candidate if it has MIN_RUN characters or as many as the shortest example of a kind (examples of more than 4096 characters
+are not learned from; candidates are scored whole, however long). It becomes a span of kind `format`
 if some kind's automaton gives it, a character, a likelihood that is above the background's and not below that of all
 but a twentieth of the kind's examples, each scored by an automaton of the other half of them. The background is an
 automaton of words: runs without a digit, from documents of the sample without base matches. Candidates are in neither.
 
 Null counts as empty; repeated rows are scanned alike; an empty table gives an empty result; with no examples there is
-no `format` span.
+no `format` span. Only the id and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
