@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import local_name
-from ..sources.triples import LABEL, TYPE
+from ..functions.terms import datatype, local_name, plain_name
+from ..sources.triples import TYPE
+from ..sources.vocabulary import FORCED_DATA, META, PREFERRED, SKIPPED
 
 #: What is asserted must be above these.
 TAU_SUBCLASS, TAU_SIMILAR, TAU_DOMAIN = 0.7, 0.6, 0.75
-#: Properties that say nothing about a schema.
-SKIPPED = [TYPE, LABEL, "rdfs:comment", "rdfs:seeAlso", "rdfs:isDefinedBy", "owl:sameAs", "dcterms:isPartOf"]
-META = ["owl:Class", "rdfs:Class", "owl:ObjectProperty", "owl:DatatypeProperty", "owl:AnnotationProperty", "owl:Ontology", "owl:NamedIndividual", "owl:Restriction"]
 
 
 def types(t: DataFrame) -> DataFrame:
-    """(s, cls) of individuals."""
-    return t.where((F.col("p") == TYPE) & ~F.col("o").isin(META)).select("s", F.col("o").alias("cls"))
+    """(s, cls) of individuals; blank nodes are none."""
+    return t.where((F.col("p") == TYPE) & (F.col("o_kind") == "iri") & ~F.col("o").isin(META) & ~F.col("s").startswith("_:")).select("s", F.col("o").alias("cls"))
 
 
 def links(t: DataFrame) -> DataFrame:
-    """Statements that tell about the schema, with `kind` object or data; only those of typed subjects count."""
-    own = t.where(~F.col("p").isin(SKIPPED)).withColumn("kind", F.when(F.col("o_kind") == "literal", "data").otherwise("object"))
-    return own
+    """Statements that tell about the schema, with `kind` object or data; those from or to blank nodes tell nothing."""
+    own = t.where(~F.col("p").isin(SKIPPED) & ~F.col("s").startswith("_:") & (F.col("o_kind") != "bnode"))
+    return own.withColumn("kind", F.when((F.col("o_kind") == "literal") | F.col("p").isin(FORCED_DATA), "data").otherwise("object"))
 
 
 def domain_range(t: DataFrame) -> DataFrame:
@@ -34,8 +32,18 @@ def domain_range(t: DataFrame) -> DataFrame:
     return domain.unionByName(ranged)
 
 
+def data_ranges(t: DataFrame) -> DataFrame:
+    """(p, datatype, n) of data properties."""
+    kind = F.when(F.col("o_kind") == "iri", "xsd:anyURI").otherwise(datatype(F.col("o_dt"), F.col("o_lang")))
+    return links(t).where("kind = 'data'").groupBy("p", kind.alias("datatype")).agg(F.count("*").alias("n"))
+
+
 def confidence(t: DataFrame) -> DataFrame:
-    """(p, role, cls, confidence): the commonest class of each role and its share; ties go to the smaller name."""
+    """(p, role, cls, confidence): the commonest class of each role and its share; ties go to the smaller name.
+
+    A graph is a set: statements are counted once, so an object property's are its distinct pairs.
+    """
+    t = t.distinct()
     total = links(t).groupBy("p").agg(F.count("*").alias("total"))
     best = domain_range(t).groupBy("p", "role").agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("cls"))).alias("b"))
     return best.join(total, "p").select("p", "role", F.col("b.cls").alias("cls"), (-F.col("b.k") / F.col("total")).alias("confidence"))
@@ -98,23 +106,61 @@ def overlaps(t: DataFrame) -> DataFrame:
     return both.join(size.withColumnRenamed("cls", "a"), "a").select("a", "b", (F.col("both") / F.col("n")).alias("overlap"))
 
 
-def subclasses(t: DataFrame, tau: float = TAU_SUBCLASS) -> DataFrame:
-    """(child, parent): overlap above tau; of two that hold both ways, the class with the longer, then larger name is the child."""
+def restrictions(t: DataFrame) -> DataFrame:
+    """(cls, p, min_n, max_n) of every class and object property that some member has; members without it count as zero."""
+    ty, own = types(t).distinct(), links(t).where("kind = 'object'").select("s", "p", "o").distinct()
+    size = ty.groupBy("cls").agg(F.count("*").alias("members"))
+    counts = own.groupBy("s", "p").agg(F.count("*").alias("n")).join(ty, "s")
+    found = counts.groupBy("cls", "p").agg(F.count("*").alias("having"), F.min("n").alias("least"), F.max("n").alias("max_n")).join(size, "cls")
+    return found.select("cls", "p", F.when(F.col("having") < F.col("members"), 0).otherwise(F.col("least")).alias("min_n"), "max_n")
+
+
+def subclasses(t: DataFrame, tau: float = TAU_SUBCLASS, similarity: DataFrame | None = None, tau_similar: float = TAU_SIMILAR) -> DataFrame:
+    """(child, parent): overlap above tau, and similarity of the names (a, b, similarity) above tau_similar where it is given.
+
+    Of two that hold both ways, the child is the class in more properties' domains, then of the longer local name, then
+    of the larger name.
+    """
     own = overlaps(t).where(F.col("overlap") > F.lit(tau)).select("a", "b")
+    if similarity is not None:
+        own = own.join(similarity.where(F.col("similarity") > F.lit(tau_similar)).select("a", "b"), ["a", "b"], "left_semi")
+    uses = domain_range(t).where("role = 'domain'").groupBy("cls").agg(F.countDistinct("p").alias("props"))
+    rank = lambda c: F.struct(F.coalesce(f"props_{c}", F.lit(0)), F.length(plain_name(F.col(c))), F.col(c))
     both = own.join(own.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1).alias("back")), ["a", "b"], "left")
-    wins = F.struct(F.length("a"), F.col("a")) > F.struct(F.length("b"), F.col("b"))
-    return both.where(F.col("back").isNull() | wins).select(F.col("a").alias("child"), F.col("b").alias("parent"))
+    for c in ("a", "b"):
+        both = both.join(uses.select(F.col("cls").alias(c), F.col("props").alias(f"props_{c}")), c, "left")
+    return both.where(F.col("back").isNull() | (rank("a") > rank("b"))).select(F.col("a").alias("child"), F.col("b").alias("parent"))
+
+
+def _named(classes: DataFrame, preferred: list[str]) -> DataFrame:
+    """(cls, local, later): later is false for classes of preferred namespaces."""
+    later = ~F.col("cls").rlike("|".join(x.replace(".", "[.]") for x in preferred)) if preferred else F.lit(False)
+    return classes.select("cls", local_name(F.col("cls")).alias("local"), later.alias("later")).distinct()
+
+
+def equivalent_classes(classes: DataFrame, preferred: list[str] = PREFERRED) -> DataFrame:
+    """(local, canonical, n) of local names that several classes (column cls) share; those of preferred namespaces come first."""
+    named = _named(classes, preferred)
+    return named.groupBy("local").agg(F.min(F.struct("later", "cls")).getField("cls").alias("canonical"), F.count("*").alias("n")).where("n > 1")
+
+
+def aliases(classes: DataFrame, preferred: list[str] = PREFERRED) -> DataFrame:
+    """(s, canonical) of classes that another one of the same local name stands for."""
+    named = _named(classes, preferred)
+    return named.join(equivalent_classes(classes, preferred), "local").where("cls != canonical").select(F.col("cls").alias("s"), "canonical")
 
 
-def equivalent_classes(classes: DataFrame) -> DataFrame:
-    """(local, canonical, n) of local names that several classes (column cls) share."""
-    return classes.select("cls", local_name(F.col("cls")).alias("local")).distinct().groupBy("local").agg(F.min("cls").alias("canonical"), F.count("*").alias("n")).where("n > 1")
+def folded(t: DataFrame, alias: DataFrame) -> DataFrame:
+    """t with aliased classes (s, canonical) replaced by the canonical ones wherever they are objects."""
+    own = alias.select(F.col("s").alias("o"), F.col("canonical").alias("_o"))
+    out = t.join(own, "o", "left")
+    return out.select("s", "p", F.when(F.col("o_kind") == "iri", F.coalesce("_o", "o")).otherwise(F.col("o")).alias("o"), "o_kind", "o_dt", "o_lang").distinct()
 
 
-def disjoint_classes(t: DataFrame) -> DataFrame:
-    """(a, b) with a < b: classes with properties, none shared and no member shared. Pairs of classes, not of rows."""
-    ty = types(t)
-    sets = links(t).join(ty, "s").groupBy("cls").agg(F.collect_set("p").alias("ps"))  # one row a class, as long as its properties
+def disjoint_classes(t: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+    """(a, b) with a < b: classes with properties, none shared, neither a subclass of the other (child, parent). Pairs of classes, not of rows."""
+    sets = domain_range(t).where("role = 'domain'").groupBy("cls").agg(F.collect_set("p").alias("ps"))  # one row a class, as long as its properties
     a, b = sets.select(F.col("cls").alias("a"), F.col("ps").alias("x")), sets.select(F.col("cls").alias("b"), F.col("ps").alias("y"))
     pairs = a.join(b, (F.col("a") < F.col("b")) & ~F.arrays_overlap("x", "y")).select("a", "b")
-    return pairs.join(overlaps(t).select("a", "b"), ["a", "b"], "left_anti")
+    parents = subclasses(t) if parents is None else parents
+    return pairs.join(parents.select(F.least("child", "parent").alias("a"), F.greatest("child", "parent").alias("b")), ["a", "b"], "left_anti")

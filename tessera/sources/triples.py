@@ -6,14 +6,19 @@ A mapped graph is a union with one branch for each property. The property is a c
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .workers import ship
+
 SCHEMA = "s string, p string, o string, o_kind string, o_dt string, o_lang string"
 COLUMNS = ["s", "p", "o", "o_kind", "o_dt", "o_lang"]
 TYPE, LABEL = "rdf:type", "rdfs:label"
+#: Formats by extension.
 FORMATS = {"ttl": "turtle", "turtle": "turtle", "rdf": "xml", "owl": "xml", "xml": "xml", "nt": "nt", "ntriples": "nt", "jsonld": "json-ld", "json": "json-ld", "n3": "n3"}
 
 
@@ -92,29 +97,47 @@ def graph(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
     return union(out)
 
 
-_TERM = r'(<[^>]*>|_:[^\s]+)'
-_LINE = rf'^\s*{_TERM}\s+<([^>]*)>\s+(?:{_TERM}|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*(?:#.*)?$'
+_TERM = r'(<[^>]*>|_:[^\s<>"]+)'
+_LINE = rf'^\s*{_TERM}\s*<([^>]*)>\s*(?:{_TERM}|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*(?:#.*)?$'
+_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", re.DOTALL)
+_ESCAPED = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
 
-def _plain(c: Column) -> Column:
-    return F.regexp_replace(c, "^<|>$", "")
+def unescaped(text: str) -> str:
+    """Escapes decoded in one pass from left to right, those of code points included."""
+    return _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _ESCAPED.get(m[3], m[3]), text) if "\\" in text else text
 
 
 def _unescape(c: Column) -> Column:
-    for a, b in ((r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r"), (r'\\"', '"'), (r"\\\\", r"\\\\")):
-        c = F.regexp_replace(c, a if a != r"\\\\" else r"\\\\", b if b != r"\\\\" else r"\\")
-    return c
+    ship()
+    return F.pandas_udf(_unescaped, "string")(c)
+
+
+def _unescaped(values: pd.Series) -> pd.Series:
+    return values.map(unescaped, na_action="ignore")
+
+
+def _plain(c: Column) -> Column:
+    return F.regexp_replace(c, "^<|>$", "")
 
 
 def parse_ntriples(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Triples of N-Triples lines, batch or stream; blank lines, comments and lines that are no statement are left out."""
+    """Triples of N-Triples lines, batch or stream; blank lines and comments are left out, and so is what rejected_lines gives."""
     part = lambda k: F.regexp_extract(column, _LINE, k)
-    node = part(3)
     rows = lines.where(F.col(column).rlike(_LINE))
-    return rows.select(
-        _plain(part(1)).alias("s"), part(2).alias("p"), F.when(node != "", _plain(node)).otherwise(_unescape(part(4))).alias("o"),
-        F.when(node.startswith("_:"), "bnode").when(node != "", "iri").otherwise("literal").alias("o_kind"), part(5).alias("o_dt"), part(6).alias("o_lang"),
+    found = rows.select(part(1).alias("s"), part(2).alias("p"), part(3).alias("node"), part(4).alias("text"), part(5).alias("o_dt"), part(6).alias("o_lang"))
+    node = F.col("node")
+    escaped = F.concat("s", "p", "node", "text").contains("\\")
+    raw = found.select(
+        _plain(F.col("s")).alias("s"), "p", F.when(node != "", _plain(node)).otherwise(F.col("text")).alias("o"),
+        F.when(node.startswith("_:"), "bnode").when(node != "", "iri").otherwise("literal").alias("o_kind"), "o_dt", "o_lang", escaped.alias("escaped"),
     )
+    return raw.select(*[F.when(F.col("escaped"), _unescape(F.col(c))).otherwise(F.col(c)).alias(c) if c in "spo" else F.col(c) for c in COLUMNS])
+
+
+def rejected_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The lines that are neither a statement nor blank nor a comment."""
+    return lines.where(~F.col(column).rlike(_LINE) & ~F.col(column).rlike(r"^\s*(#.*)?$"))
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
