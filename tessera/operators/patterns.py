@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -11,11 +14,16 @@ from ..sources.triples import COLUMNS
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, in the folder that the session names."""
+    """df with its lineage cut by a reliable checkpoint, in the folder that the session names; a temporary one only in a local session."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        if not named:
+            named = tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, named, True)
+        context.setCheckpointDir(named)
     return df.checkpoint()
 
 
@@ -95,16 +103,19 @@ def without(t: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def path_plus(edges: DataFrame) -> DataFrame:
-    """(a, b): b is reached from a by one or more edges. Paths double in length each round, until no pair is new."""
+    """(a, b): b is reached from a by one or more edges.
+
+    Semi-naive, by doubling: only pairs that the last round found are extended, by all that are known, so known pairs are
+    never joined with known ones again, and paths still double in length each round. It ends when no pair is new.
+    """
     known = cut(edges.select("a", "b").distinct())
-    size = known.count()
-    while True:
-        longer = known.select("a", F.col("b").alias("m")).join(known.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
-        known = cut(known.union(longer).distinct())
-        now = known.count()
-        if now == size:
-            return known
-        size = now
+    fresh = known
+    while not fresh.isEmpty():
+        on = fresh.select("a", F.col("b").alias("m")).join(known.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
+        back = known.select("a", F.col("b").alias("m")).join(fresh.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
+        fresh = cut(on.union(back).distinct().join(known, ["a", "b"], "left_anti"))
+        known = cut(known.union(fresh))
+    return known
 
 
 def neighbourhood(t: DataFrame, start: DataFrame, properties: list[str], hops: int = 2) -> DataFrame:

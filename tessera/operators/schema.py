@@ -165,7 +165,7 @@ def build_tbox(a: Analysis, iri: str = "https://example.org/tbox/generated", met
     """The whole schema as triples."""
     hard = non_simple(a)
     out = header(a.graph.sparkSession, iri, meta or {"title": "TBox", "creator": "tessera", "description": ""})
-    return merged(out, class_axioms(a), property_axioms(a, hard, tau), restriction_axioms(a, hard, tau))
+    return cut(merged(out, class_axioms(a), property_axioms(a, hard, tau), restriction_axioms(a, hard, tau)))
 
 
 def well_formed_restrictions(tbox: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def strip_tbox(abox: DataFrame, tbox: DataFrame, alias: DataFrame) -> DataFrame:
 
 def build_merged(tbox: DataFrame, abox: DataFrame, alias: DataFrame) -> DataFrame:
     """Schema and facts in one graph, individuals declared as such, hash-named ones with labels that can be read."""
-    facts = strip_tbox(abox, tbox, alias)
+    facts = cut(strip_tbox(abox, tbox, alias))
     people = facts.where((F.col("p") == TYPE) & (F.col("o_kind") == "iri") & ~F.col("o").isin(META) & ~F.col("s").startswith("_:")).select("s").distinct()
     return label_individuals(merged(tbox, facts, rows(people, F.col("s"), TYPE, "owl:NamedIndividual")))
 
@@ -210,6 +210,7 @@ def label_individuals(t: DataFrame) -> DataFrame:
     The parent is the smallest node that points here and has a label to read; the detail, where several members of a class
     share the parent, is the best telling literal of up to 80 characters.
     """
+    t = cut(t)  # read several times
     ty = induction.types(t).distinct()
     words = t.where((F.col("p") == LABEL) & (F.col("o_kind") == "literal")).groupBy("s").agg(F.max(F.struct(F.length("o"), F.col("o"))).getField("o").alias("label"))
     words = cut(words)

@@ -445,8 +445,9 @@ def query(t: DataFrame, text: str, params: dict[str, str | tuple] | None = None,
         for e, down in reversed(q.order[:1]):
             rows = rows.orderBy(F.desc(e[1]) if down else F.asc_nulls_first(e[1]), *[F.asc(c) for c in names if c != e[1]])
     else:
-        if q.order:
-            found = found.orderBy(*[(F.desc_nulls_last if down else F.asc_nulls_first)(run.term(e, known)["v"]) for e, down in q.order])
+        order = [(F.desc_nulls_last if down else F.asc_nulls_first)(F.col(f"`{e[1]}`") if q.distinct else run.term(e, known)["v"]) for e, down in q.order]
+        found = found.orderBy(*order) if order and not q.distinct else found
         rows = found.select(*[run.term(e, known)["v"].alias(name) for e, name in items])
         rows = rows.distinct() if q.distinct else rows
+        rows = rows.orderBy(*order) if order and q.distinct else rows  # by variables that are selected
     return rows if q.limit is None else rows.limit(q.limit)
