@@ -169,9 +169,9 @@ def _near(ratio: float):
     return (F.col("x.part") != F.col("y.part")) & near & (differ <= (F.col("x.n") + F.col("y.n")) * F.lit((1 - ratio) / (1 + ratio)) + F.lit(1e-6))
 
 
-def star_pairs(each: DataFrame, info: DataFrame, ratio: float) -> DataFrame:
-    """Of each token's sets, the pairs (a, b) of one, which the token picks, with the others: as many as there are rows."""
-    mask = F.xxhash64("token")
+def star_pairs(each: DataFrame, info: DataFrame, ratio: float, turn: int = 0) -> DataFrame:
+    """Of each token's sets, the pairs (a, b) of one, which token and turn pick, with the others: as many as there are rows."""
+    mask = F.xxhash64("token", F.lit(turn))
     met = each.groupBy("token").agg(F.min(F.col("uid").bitwiseXOR(mask)).alias("met")).select("token", F.col("met").bitwiseXOR(mask).alias("met"))
     pairs = each.join(met, "token").where("uid != met").select(F.least("uid", "met").alias("a"), F.greatest("uid", "met").alias("b")).distinct()
     some = pairs.join(info.alias("x"), F.col("a") == F.col("x.uid")).join(info.alias("y"), F.col("b") == F.col("y.uid"))
@@ -191,32 +191,47 @@ def prefix_pairs(rows: DataFrame, ratio: float) -> DataFrame:
     return all_pairs(*prefixed(rows, ratio), ratio)
 
 
+def _in_parts(x: DataFrame, parts: DataFrame) -> DataFrame:
+    own = parts.withColumnRenamed("node", "uid")
+    return x.drop("part").join(own, "uid", "left").withColumn("part", F.coalesce("component", "uid")).drop("component")
+
+
 def completed(pairs: DataFrame, links: DataFrame, members: DataFrame, sizes: float, ratio: float, rows_of, verify) -> DataFrame:
     """(node, component) by links and all further ones between members of one bucket; both as from bucket_pairs.
 
     sizes: the ratio that n of similar members has at least. rows_of(inside) gives (uid, part, shingles), verify(pairs)
-    the similar ones, settled. Tokens' stars come first: they join most of what is left with as many pairs as rows, so
-    that the last step, which compares all sets of a token, has few different parts to compare. All settled tables that
-    are given are deleted when nothing reads them any more.
+    the similar ones, settled. Tokens' stars come first, with other centres in every turn, as long as a turn still links
+    a hundredth of the sets: they join most of what is left with as many pairs as rows, so that the last step, which
+    compares all sets of a token, has few different parts to compare. All settled tables that are given are deleted when
+    nothing reads them any more.
     """
     parts = components(links)
     some, inside = crossing(members, parts, sizes)
     forget(members)
-    fresh, each, info = some.join(pairs, ["a", "b"], "left_anti"), None, None
+    tried, each, info, turn, sets = settle(some.join(pairs, ["a", "b"], "left_anti"), some), None, None, 0, 0
     if not inside.isEmpty():
         each, info = prefixed(rows_of(inside), ratio)
-        fresh = fresh.union(star_pairs(each, info, ratio).join(pairs, ["a", "b"], "left_anti")).distinct()
-    fresh = settle(fresh, some, inside)
-    if not fresh.isEmpty():
-        more = verify(fresh)
-        if not more.isEmpty():
+        sets = info.count()
+        tried = settle(tried.union(star_pairs(each, info, ratio).join(pairs, ["a", "b"], "left_anti")).distinct(), tried)
+    forget(inside)
+    new = tried
+    while not new.isEmpty():
+        more = verify(new)
+        n = more.count()
+        if n:
             links = settle(links.union(more), links, more)
             forget(parts)
             parts = components(links)
+        if each is None or 100 * n < sets:
+            break
+        turn += 1
+        each, info = settle(_in_parts(each, parts), each), settle(_in_parts(info, parts), info)
+        each = settle(each.join(_mixed(each), "token"), each)
+        new = settle(star_pairs(each, info, ratio, turn).join(pairs, ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti").distinct())
+        tried = settle(tried.union(new), tried)
     if each is not None:
-        own = parts.withColumnRenamed("node", "uid")
-        each, info = (settle(x.drop("part").join(own, "uid", "left").withColumn("part", F.coalesce("component", "uid")).drop("component"), x) for x in (each, info))
-        rest = settle(all_pairs(each, info, ratio).join(pairs, ["a", "b"], "left_anti").join(fresh, ["a", "b"], "left_anti"), each, info)
+        each, info = settle(_in_parts(each, parts), each), settle(_in_parts(info, parts), info)
+        rest = settle(all_pairs(each, info, ratio).join(pairs, ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti"), each, info)
         if not rest.isEmpty():
             more = verify(rest)
             if not more.isEmpty():
@@ -224,5 +239,5 @@ def completed(pairs: DataFrame, links: DataFrame, members: DataFrame, sizes: flo
                 parts = components(links.union(more))
             forget(more)
         forget(rest)
-    forget(pairs, links, fresh)
+    forget(pairs, links, tried)
     return parts
