@@ -91,6 +91,6 @@ def test_functions(spark):
 
 def test_hierarchy_and_clashes(spark):
     parents = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b")], "child string, parent string")
-    assert validation.hierarchy(parents).first().asDict() == {"roots": 1, "max_depth": 2, "leaves": 2, "max_breadth": 2}
+    assert validation.hierarchy(parents).first().asDict() == {"roots": 1, "average_depth": 1.0, "max_depth": 2, "leaves": 2, "average_breadth": 4 / 3, "max_breadth": 2, "nodes": 4, "edges": 3}
     t = graph(spark, [("i", triples.TYPE, "A"), ("i", triples.TYPE, "B"), ("j", triples.TYPE, "A")])
     assert got(validation.clashes(t, spark.createDataFrame([("A", "B")], "a string, b string"))) == [("i", "A", "B")]
