@@ -201,7 +201,7 @@ def completed(pairs: DataFrame, links: DataFrame, members: DataFrame, sizes: flo
 
     sizes: the ratio that n of similar members has at least. rows_of(inside) gives (uid, part, shingles), verify(pairs)
     the similar ones, settled. Tokens' stars come first, with other centres in every turn, as long as a turn still links
-    a hundredth of the sets: they join most of what is left with as many pairs as rows, so that the last step, which
+    a tenth of the sets: they join most of what is left with as many pairs as rows, so that the last step, which
     compares all sets of a token, has few different parts to compare. All settled tables that are given are deleted when
     nothing reads them any more.
     """
@@ -215,6 +215,7 @@ def completed(pairs: DataFrame, links: DataFrame, members: DataFrame, sizes: flo
         tried = settle(tried.union(star_pairs(each, info, ratio).join(pairs, ["a", "b"], "left_anti")).distinct(), tried)
     forget(inside)
     new = tried
+    tried = settle(pairs.union(new), pairs)  # what need not be compared again
     while not new.isEmpty():
         more = verify(new)
         n = more.count()
@@ -222,16 +223,17 @@ def completed(pairs: DataFrame, links: DataFrame, members: DataFrame, sizes: flo
             links = settle(links.union(more), links, more)
             forget(parts)
             parts = components(links)
-        if each is None or 100 * n < sets:
+        if each is None or 10 * n < sets:
             break
         turn += 1
         each, info = settle(_in_parts(each, parts), each), settle(_in_parts(info, parts), info)
         each = settle(each.join(_mixed(each), "token"), each)
-        new = settle(star_pairs(each, info, ratio, turn).join(pairs, ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti").distinct())
+        spent, new = new, settle(star_pairs(each, info, ratio, turn).join(tried, ["a", "b"], "left_anti").distinct())
+        forget(spent)
         tried = settle(tried.union(new), tried)
     if each is not None:
         each, info = settle(_in_parts(each, parts), each), settle(_in_parts(info, parts), info)
-        rest = settle(all_pairs(each, info, ratio).join(pairs, ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti"), each, info)
+        rest = settle(all_pairs(each, info, ratio).join(tried, ["a", "b"], "left_anti"), each, info)
         if not rest.isEmpty():
             more = verify(rest)
             if not more.isEmpty():
@@ -239,5 +241,5 @@ def completed(pairs: DataFrame, links: DataFrame, members: DataFrame, sizes: flo
                 parts = components(links.union(more))
             forget(more)
         forget(rest)
-    forget(pairs, links, tried)
+    forget(links, new, tried)
     return parts
