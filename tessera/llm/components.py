@@ -77,14 +77,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b", *spent: DataFrame)
 def bucket_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): (a, b), a < b, of every bucket's members with one of them; (key, uid, n) of buckets over two.
 
-    buckets: (key, uid, n). Minimum, maximum and count combine before the shuffle. Buckets of two need nothing more;
-    only larger ones are joined with their members again. The one that all meet is the smallest in one of ORDERS orders,
-    which the key picks: one unlucky choice, say of a text far from the others, then does not hold for every bucket.
+    buckets: (key, uid, n, copies). Minimum, maximum and count combine before the shuffle. Buckets of two need nothing
+    more; only larger ones are joined with their members again. The one that all meet is the first in one of ORDERS
+    orders, which the key picks: one unlucky choice, say of a text far from the others, then does not hold for every
+    bucket. In all orders but one, what is copied most (by powers of two) comes first: where texts are changed copies of
+    one that is there itself, each is nearer to that one than to the others.
     """
-    mask = F.xxhash64(F.pmod("key", F.lit(ORDERS)))
-    ends = buckets.groupBy("key").agg(F.min("uid").alias("a"), F.max("uid").alias("z"), F.min(F.col("uid").bitwiseXOR(mask)).alias("met"), F.count("*").alias("members"))
-    ends = settle(ends.where("members > 1 AND a < z").select("key", "a", "z", F.col("met").bitwiseXOR(mask).alias("met"), "members"))
-    members = settle(buckets.join(ends.where("members > 2").select("key", "met"), "key"))
+    order = F.pmod("key", F.lit(ORDERS))
+    rarity = F.when(order == 0, F.lit(0)).otherwise(F.lit(63) - F.floor(F.log2(F.greatest(F.col("copies"), F.lit(1))))).cast("long")
+    rank = F.shiftleft(rarity, 57) + F.shiftrightunsigned(F.xxhash64("uid", order), 7)
+    ends = buckets.groupBy("key").agg(F.min("uid").alias("a"), F.max("uid").alias("z"), F.min_by("uid", rank).alias("met"), F.count("*").alias("members"))
+    ends = settle(ends.where("members > 1 AND a < z"))
+    members = settle(buckets.select("key", "uid", "n").join(ends.where("members > 2").select("key", "met"), "key"))
     stars = members.where("uid != met").select(F.least("met", "uid").alias("a"), F.greatest("met", "uid").alias("b"))
     pairs = settle(ends.where("members = 2").select("a", F.col("z").alias("b")).union(stars).distinct(), ends)
     return pairs, members
@@ -175,7 +179,8 @@ def star_pairs(each: DataFrame, info: DataFrame, ratio: float, turn: int = 0) ->
     met = each.groupBy("token").agg(F.min(F.col("uid").bitwiseXOR(mask)).alias("met")).select("token", F.col("met").bitwiseXOR(mask).alias("met"))
     pairs = each.join(met, "token").where("uid != met").select(F.least("uid", "met").alias("a"), F.greatest("uid", "met").alias("b")).distinct()
     some = pairs.join(info.alias("x"), F.col("a") == F.col("x.uid")).join(info.alias("y"), F.col("b") == F.col("y.uid"))
-    return some.where(_near(ratio)).select("a", "b")
+    # settled, since an anti join that follows would else be pushed below these joins, to all rows of the tokens
+    return settle(some.where(_near(ratio)).select("a", "b"))
 
 
 def all_pairs(each: DataFrame, info: DataFrame, ratio: float) -> DataFrame:
@@ -212,7 +217,8 @@ def completed(pairs: DataFrame, links: DataFrame, members: DataFrame, sizes: flo
     if not inside.isEmpty():
         each, info = prefixed(rows_of(inside), ratio)
         sets = info.count()
-        tried = settle(tried.union(star_pairs(each, info, ratio).join(pairs, ["a", "b"], "left_anti")).distinct(), tried)
+        stars = star_pairs(each, info, ratio)
+        tried = settle(tried.union(stars.join(pairs, ["a", "b"], "left_anti")).distinct(), tried, stars)
     forget(inside)
     new = tried
     tried = settle(pairs.union(new), pairs)  # what need not be compared again
@@ -228,7 +234,8 @@ def completed(pairs: DataFrame, links: DataFrame, members: DataFrame, sizes: flo
         turn += 1
         each, info = settle(_in_parts(each, parts), each), settle(_in_parts(info, parts), info)
         each = settle(each.join(_mixed(each), "token"), each)
-        spent, new = new, settle(star_pairs(each, info, ratio, turn).join(tried, ["a", "b"], "left_anti").distinct())
+        stars, spent = star_pairs(each, info, ratio, turn), new
+        new = settle(stars.join(tried, ["a", "b"], "left_anti").distinct(), stars)
         forget(spent)
         tried = settle(tried.union(new), tried)
     if each is not None:
