@@ -174,10 +174,15 @@ def _near(ratio: float):
 
 
 def star_pairs(each: DataFrame, info: DataFrame, ratio: float, turn: int = 0) -> DataFrame:
-    """Of each token's sets, the pairs (a, b) of one, which token and turn pick, with the others: as many as there are rows."""
+    """Of each token's sets, the pairs (a, b) of one, which token and turn pick, with the others of other parts.
+
+    There are fewer of them than rows: sets that already stand in the part of the one they meet leave with the first join.
+    """
     mask = F.xxhash64("token", F.lit(turn))
-    met = each.groupBy("token").agg(F.min(F.col("uid").bitwiseXOR(mask)).alias("met")).select("token", F.col("met").bitwiseXOR(mask).alias("met"))
-    pairs = each.join(met, "token").where("uid != met").select(F.least("uid", "met").alias("a"), F.greatest("uid", "met").alias("b")).distinct()
+    rank = F.col("uid").bitwiseXOR(mask)
+    met = each.groupBy("token").agg(F.min(rank).alias("met"), F.min_by("part", rank).alias("met_part")).select("token", F.col("met").bitwiseXOR(mask).alias("met"), "met_part")
+    pairs = each.alias("e").join(met.alias("m"), (F.col("e.token") == F.col("m.token")) & (F.col("e.part") != F.col("m.met_part")))
+    pairs = pairs.select(F.least("uid", "met").alias("a"), F.greatest("uid", "met").alias("b")).distinct()
     some = pairs.join(info.alias("x"), F.col("a") == F.col("x.uid")).join(info.alias("y"), F.col("b") == F.col("y.uid"))
     # settled, since an anti join that follows would else be pushed below these joins, to all rows of the tokens
     return settle(some.where(_near(ratio)).select("a", "b"))
