@@ -158,12 +158,14 @@ def prefixed(rows: DataFrame, ratio: float) -> tuple[DataFrame, DataFrame]:
     often = rows.sparkSession.sparkContext.broadcast(often)
     found = settle(rows.select("uid", "part", "shingles").mapInArrow(_prefixes(often, ratio), "uid long, part long, n long, tokens array<long>, map array<long>"))
     each = found.select("uid", "part", F.explode("tokens").alias("token"))
-    each = settle(each.join(_mixed(each), "token"))
+    each = _mixed(each)
     return each, settle(found.select("uid", "part", "n", *[F.col("map")[k].alias(f"m{k}") for k in range(LONGS)]), found)
 
 
-def _mixed(each: DataFrame) -> DataFrame:
-    return each.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("token")
+def _mixed(each: DataFrame, *spent: DataFrame) -> DataFrame:
+    """The rows of tokens in different parts. Settled; the tokens too, so that the join's shuffle can split a hot one."""
+    mixed = settle(each.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("token"))
+    return settle(each.join(mixed, "token"), mixed, *spent)
 
 
 def _near(ratio: float):
@@ -181,16 +183,18 @@ def star_pairs(each: DataFrame, info: DataFrame, ratio: float, turn: int = 0) ->
     mask = F.xxhash64("token", F.lit(turn))
     rank = F.col("uid").bitwiseXOR(mask)
     met = each.groupBy("token").agg(F.min(rank).alias("met"), F.min_by("part", rank).alias("met_part")).select("token", F.col("met").bitwiseXOR(mask).alias("met"), "met_part")
+    met = settle(met)  # so that the join's shuffle can split a hot token
     pairs = each.alias("e").join(met.alias("m"), (F.col("e.token") == F.col("m.token")) & (F.col("e.part") != F.col("m.met_part")))
     pairs = pairs.select(F.least("uid", "met").alias("a"), F.greatest("uid", "met").alias("b")).distinct()
     some = pairs.join(info.alias("x"), F.col("a") == F.col("x.uid")).join(info.alias("y"), F.col("b") == F.col("y.uid"))
     # settled, since an anti join that follows would else be pushed below these joins, to all rows of the tokens
-    return settle(some.where(_near(ratio)).select("a", "b"))
+    return settle(some.where(_near(ratio)).select("a", "b"), met)
 
 
 def all_pairs(each: DataFrame, info: DataFrame, ratio: float) -> DataFrame:
     """(a, b) with a < b of different parts that share a token, and whose sizes and maps allow the ratio."""
-    wide = settle(each.join(_mixed(each), "token").select("uid", "token").join(info, "uid"))
+    mixed = _mixed(each)
+    wide = settle(mixed.select("uid", "token").join(info, "uid"), mixed)
     x, y = wide.alias("x"), wide.alias("y")
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.uid") < F.col("y.uid")) & _near(ratio))
     return settle(pairs.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct(), wide)
@@ -238,7 +242,7 @@ def completed(pairs: DataFrame, links: DataFrame, members: DataFrame, sizes: flo
             break
         turn += 1
         each, info = settle(_in_parts(each, parts), each), settle(_in_parts(info, parts), info)
-        each = settle(each.join(_mixed(each), "token"), each)
+        each = _mixed(each, each)
         stars, spent = star_pairs(each, info, ratio, turn), new
         new = settle(stars.join(tried, ["a", "b"], "left_anti").distinct(), stars)
         forget(spent)
