@@ -113,7 +113,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("uid"), F.col("md5"))
     same = signed.groupBy("digest").agg(F.min(own).alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"), F.max("bands").alias("bands"))
     same = settle(same.select("digest", "first.doc_id", "first.uid", "first.md5", "n", "copies", "bands"))
-    pairs, members = bucket_pairs(same.where("bands IS NOT NULL").select(F.explode("bands").alias("key"), "uid", "n", "copies"))
+    pairs, members = bucket_pairs(same.where("bands IS NOT NULL").select("uid", "n", "copies", F.col("bands").alias("keys")))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(uid, shingles); one row of each digest meets the rows of its own id and text, so repeated ids bring no others."""

@@ -85,6 +85,36 @@ def test_large_buckets_find_their_links(spark):
     assert {(r["a"], r["b"]) for r in pairs.collect()} == {(0, 1), (0, 2), (1, 2)} and inside.count() == 40
 
 
+def test_buckets_are_dealt_in_packed_form(spark, monkeypatch):
+    plans = []
+
+    def settle(df, *spent):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, *spent)
+
+    real = components.settle
+    monkeypatch.setattr(components, "settle", settle)
+    monkeypatch.setattr(components, "RUN_KEYS", 64)
+    monkeypatch.setattr(components, "HOT", 8)
+    spread = lambda k: int(components.mix(np.array([k], np.uint64)).view(np.int64)[0])
+    held = {spread(k): {k, k + 1000} for k in range(300)} | {spread(k): {k, k + 1000, k + 2000} for k in range(300, 330)}
+    held |= {spread(900): set(range(3000, 3400)), spread(901): set(range(3000, 3003)), spread(902): set(range(3030, 3045)), spread(903): {7}}
+    keys = defaultdict(list)
+    for key, uids in held.items():
+        for uid in uids:
+            keys[uid].append(key)
+    rows = spark.createDataFrame([(uid, uid % 7, 1 + uid % 5, own) for uid, own in sorted(keys.items())], "uid long, n long, copies long, keys array<long>")
+    pairs, members = components.bucket_pairs(rows)
+    assert sorted((r["key"], r["uid"], r["n"]) for r in members.collect()) == sorted((key, uid, uid % 7) for key, uids in held.items() if len(uids) > 2 for uid in uids)
+    found = {(r["a"], r["b"]) for r in pairs.collect()}
+    assert len(found) == pairs.count() <= sum(map(len, keys.values())) and all(a < b for a, b in found)
+    for uids in held.values():  # each bucket is held together by links inside it
+        u, v = np.array([x for x in found if set(x) <= uids], np.int64).reshape(-1, 2).T
+        assert len(components.roots(u, v)[0]) == len(uids) - 1
+    # a record of a bucket is no row of its own, and buckets are not joined with their members again
+    assert not any(x in p for p in plans for x in ("Generate", "SortMergeJoin", "BroadcastHashJoin"))
+
+
 def test_op2_round_trip(spark):
     rows = ODD + [(10 + k, made(200 * k, k)) for k in range(1, 12)]
     found = op2_packing.pack(docs(spark, rows)).collect()
