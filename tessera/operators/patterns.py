@@ -27,6 +27,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of a table, as the optimiser takes them, that a task works on; tables of more than the second have no known size.
+DEALT_BYTES, UNKNOWN_BYTES = 4 << 20, 1 << 50
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt to tasks by keys, more of them the larger it is, so that what a task holds does not grow with the table."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = size // DEALT_BYTES if size < UNKNOWN_BYTES else 0
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
+
+
 def pattern(t: DataFrame, s: str, p: str, o: str) -> DataFrame:
     """Solutions of one triple pattern; terms that start with ? are variables and become columns."""
     found: dict[str, str] = {}

@@ -52,19 +52,22 @@ class Analysis:
 
 
 def analyse(t: DataFrame, tau: float = induction.TAU_SUBCLASS, similarity: DataFrame | None = None) -> Analysis:
-    """All that build_tbox needs. Classes of one local name are folded into one first, so everything counts them as one."""
+    """All that build_tbox needs. Classes of one local name are folded into one first, so everything counts them as one.
+
+    t is dealt once, to a profile of its nodes from which all is counted; statements of properties that may be inverse,
+    symmetric or transitive are read again.
+    """
     alias = cut(induction.aliases(induction.types(t).select("cls").distinct()))
-    t = cut(induction.folded(t, alias)) if not alias.isEmpty() else cut(t.distinct())
-    ty, own = induction.types(t), induction.links(t)
-    edges = cut(own.where("kind = 'object'").select("s", "p", "o").distinct())
-    pairs = induction.inverse_pairs(edges)
+    t = induction.folded(t, alias) if not alias.isEmpty() else t
+    seen = induction.profile(t)
+    marked, pairs = induction.turned(t, seen)
     inverse = pairs.union(pairs.select(F.col("q").alias("p"), F.col("p").alias("q"))).groupBy("p").agg(F.min("q").alias("q"))
-    marks = induction.functional(t).join(induction.symmetric(edges), "p").join(induction.transitive(edges), "p")
-    parents = cut(induction.subclasses(t, tau, similarity))
+    marks = induction.functional(t, seen).join(marked, "p").join(induction.chained(t, seen), "p")
+    parents = cut(induction.subclasses(t, tau, similarity, seen=seen))
     return Analysis(
-        graph=t, alias=alias, classes=cut(ty.groupBy("cls").agg(F.countDistinct("s").alias("n"))), props=cut(own.select("p", "kind").distinct()), roles=cut(induction.domain_range(t)),
-        datatypes=cut(induction.data_ranges(t)), confidence=cut(induction.confidence(t)), marks=cut(marks), functional_data=cut(induction.functional_data(t)), inverse=cut(inverse), parents=parents,
-        disjoint=cut(induction.disjoint_classes(t, parents)), restrictions=cut(induction.restrictions(t).where("min_n > 0 OR max_n < 999")),
+        graph=t, alias=alias, classes=cut(induction.class_sizes(seen)), props=cut(seen.where("role = 'out'").select("p", "kind").distinct()), roles=cut(induction.domain_range(t, seen)),
+        datatypes=cut(induction.data_ranges(t, seen)), confidence=cut(induction.confidence(t, seen)), marks=cut(marks), functional_data=cut(induction.functional_data(t, seen)), inverse=cut(inverse), parents=parents,
+        disjoint=cut(induction.disjoint_classes(t, parents, seen)), restrictions=cut(induction.restrictions(t, seen).where("min_n > 0 OR max_n < 999")),
     )
 
 
