@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import allowed_edition, before, clean_name, distinctive_tokens, haversine_km, path_name, readable_label, repair, short_id, short_label, tokens, valid_id, wkt_point
 from ..sources.triples import COLUMNS, LABEL, TYPE
-from .patterns import ask, bgp, construct, merged, neighbourhood, not_exists, optional, path_plus, pattern
+from .patterns import ask, bgp, construct, dealt, merged, neighbourhood, not_exists, optional, path_plus, pattern
 from .refine import Names
 
 
@@ -270,6 +270,16 @@ def _first(df: DataFrame, key: str, order: list, n: int) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
 
 
+def first_values(t: DataFrame, p: str, n: int) -> DataFrame:
+    """(s, p, o): the first n different values of p, by name, of every subject.
+
+    Statements are dealt once, by subject, and sorted there; repeats stand side by side and are left out without a set.
+    """
+    at = Window.partitionBy("s").orderBy("o")
+    first = dealt(t.where(F.col("p") == p).select("s", "o"), "s").withColumn("_k", F.dense_rank().over(at)).where(F.col("_k") <= n)
+    return first.withColumn("_o", F.lag("o").over(at)).where(F.col("_o").isNull() | (F.col("_o") != F.col("o"))).select("s", F.lit(p).alias("p"), "o")
+
+
 def described(world: DataFrame, links: DataFrame, caps: dict[str, int]) -> DataFrame:
     """(id, s, p, o) of linked resources (id, s): up to caps[p] objects of each property, without editions in other languages."""
     own = world.where(F.col("p").isin(*caps) & ((F.col("o_kind") == "literal") | allowed_edition(F.col("o")))).join(links, "s").select("id", "s", "p", "o").distinct()

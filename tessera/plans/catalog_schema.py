@@ -62,7 +62,7 @@ _ORDERED_SQL = f"WITH {mapped('orders', 'lineitem', 'part', more=chr(10).join(['
 def build_tbox_inverses(spark, sf_dir):
     line = _read(spark, sf_dir, "lineitem")
     back = facts(line, iri("part", "l_partkey"), "ex:partOfOrder", iri("order", "l_orderkey"), "iri")
-    return schema.build_tbox(schema.analyse(graph(spark, sf_dir, "orders", "lineitem", "part").unionByName(back)))
+    return schema.build_tbox(schema.analyse(graph(spark, sf_dir, "orders", "lineitem", "part", repeats=True).unionByName(back)))
 
 
 _JUNK = """SELECT 'ex:customer/' || c_custkey, 'dcterms:isPartOf', 'ex:dump', 'iri', '', '' FROM customer UNION ALL SELECT 'ex:Customer', 'rdf:type', 'owl:Class', 'iri', '', ''

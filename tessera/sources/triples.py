@@ -41,8 +41,11 @@ def union(graphs: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, graphs)
 
 
-def graph(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
-    """The direct mapping of tables to triples (bag; keys make all but the edges of lineitem distinct)."""
+def graph(spark: SparkSession, sf_dir: str, *tables: str, repeats: bool = False) -> DataFrame:
+    """The direct mapping of tables to triples; keys make all but the edges of lineitem distinct.
+
+    repeats: these stay as often as the table has them, for operators that make a set of their statements anyway.
+    """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     out: list[DataFrame] = []
 
@@ -91,7 +94,9 @@ def graph(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
             out += [facts(df, s, "ex:hasCustomer", iri("customer", "o_custkey"), "iri"), facts(df, s, "ex:status", F.col("o_orderstatus")), facts(df, s, "ex:priority", F.col("o_orderpriority"))]
         elif t == "lineitem":
             s = iri("order", "l_orderkey")
-            out += [facts(df, s, "ex:contains", iri("part", "l_partkey"), "iri").distinct(), facts(df, s, "ex:suppliedBy", iri("supplier", "l_suppkey"), "iri").distinct()]
+            for p, kind, key in (("ex:contains", "part", "l_partkey"), ("ex:suppliedBy", "supplier", "l_suppkey")):
+                pairs = df.select("l_orderkey", key)
+                out.append(facts(pairs if repeats else pairs.distinct(), s, p, iri(kind, key), "iri"))  # of keys, which are narrower than terms
         else:
             raise ValueError(f"no mapping for table {t}")
     return union(out)
