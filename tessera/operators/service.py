@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import allowed_edition, before, clean_name, distinctive_tokens, haversine_km, path_name, readable_label, repair, short_id, short_label, tokens, valid_id, wkt_point
 from ..sources.triples import COLUMNS, LABEL, TYPE
-from .patterns import ask, bgp, construct, dealt, merged, neighbourhood, not_exists, optional, path_plus, pattern
+from .patterns import ask, bgp, construct, cut, dealt, merged, neighbourhood, not_exists, optional, path_plus, pattern
 from .refine import Names
 
 
@@ -227,6 +227,23 @@ def fuzzy_candidates(world: DataFrame, names: DataFrame, base: str) -> DataFrame
     return asked.join(known, "token").groupBy("id", "s").agg((F.lit(1000) - F.count("*")).cast("int").alias("rank"))
 
 
+def first_fuzzy(world: DataFrame, names: DataFrame, base: str) -> DataFrame:
+    """(id, s): of fuzzy_candidates the one of the lowest rank, the smallest of these.
+
+    Names of equal tokens are looked up once, and so are resources of which the same tokens are asked for: only the smallest
+    of these is met.
+    """
+    asked = names.select("id", F.explode(distinctive_tokens(clean_name(F.col("name")))).alias("token")).groupBy("id").agg(F.sort_array(F.collect_list("token")).alias("asked"))
+    sets = asked.select("asked").distinct()
+    words = sets.select("asked", F.explode("asked").alias("token"))
+    known = world.where((F.col("p") == LABEL) & F.col("s").startswith(base)).select("s").distinct()
+    known = known.select("s", F.explode(tokens(readable_label(F.col("s")))).alias("token")).join(words.select("token").distinct(), "token", "left_semi")
+    alike = known.groupBy("s").agg(F.sort_array(F.collect_list("token")).alias("known")).groupBy("known").agg(F.min("s").alias("s"))  # one name's tokens
+    met = words.join(alike.select("s", F.explode("known").alias("token")), "token").groupBy("asked", "s").agg((-F.count("*")).alias("k"))
+    best = met.groupBy("asked").agg(F.min(F.struct("k", "s")).getField("s").alias("s"))
+    return asked.join(best, "asked").select("id", "s")
+
+
 def about(world: DataFrame, nodes: list[str], words: list[str]) -> DataFrame:
     """(s): resources that point to one of nodes, say one of words, or point to an IRI that holds the first of them."""
     said = F.lit(False)
@@ -237,9 +254,15 @@ def about(world: DataFrame, nodes: list[str], words: list[str]) -> DataFrame:
 
 
 def linked(world: DataFrame, names: DataFrame, base: str, related: DataFrame) -> DataFrame:
-    """(id, s) of (id, name): the first candidate that is related (s): exact labels before fuzzy ones, then smaller names."""
-    every = exact_candidates(world, names, base).unionByName(fuzzy_candidates(world, names, base)).join(related, "s", "left_semi")
-    return every.groupBy("id").agg(F.min(F.struct("rank", "s")).getField("s").alias("s"))
+    """(id, s) of (id, name): the first candidate that is related (s): exact labels before fuzzy ones, then smaller names.
+
+    Fuzzy candidates are looked for where no exact one is related, and among related resources alone.
+    """
+    related = cut(related.select("s").distinct())
+    exact = exact_candidates(world, names, base).join(related, "s", "left_semi")
+    exact = cut(exact.groupBy("id").agg(F.min(F.struct("rank", "s")).getField("s").alias("s")))
+    left = cut(names.join(exact.select(F.col("id").alias("_id")), F.col("id").eqNullSafe(F.col("_id")), "left_anti"))
+    return exact if left.isEmpty() else exact.unionByName(first_fuzzy(world.join(related, "s", "left_semi"), left, base))
 
 
 #: Concepts that say nothing of a thing, and ones that are right but broad.
