@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import terms
-from ..operators import induction, patterns, rewrites, service, validation
+from ..operators import induction, patterns, rewrites, service, validation, vectors
 from ..sources.triples import TYPE, facts, graph, iri, union
 from .mapping_sql import COUNTED, mapped
 
@@ -383,9 +383,7 @@ def hash_names(spark, sf_dir):
 @query("SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 5) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id % 100 = 0 AND x.vec_id <> y.vec_id")
 def cosine_search(spark, sf_dir):
     e = _read(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))  # the stated query set
-    both = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")).join(asked, F.col("a") != F.col("b"))
-    return both.select("a", "b", F.round(terms.cosine(F.col("x"), F.col("y")), 5).alias("similarity"))
+    return vectors.cosines(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 5)  # the stated query set
 
 
 @query("SELECT url, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages")
