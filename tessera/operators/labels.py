@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.terms import path_name
 from ..sources.triples import COLUMNS, LABEL, TYPE
 from ..sources.workers import ship
-from .patterns import cut, merged
-from .rewrites import TYPES, label_scores, redirected
+from .patterns import cut, dealt, merged
+from .rewrites import TYPES, label_scores, renamed
 from .schema import rows
 
 
@@ -47,8 +47,9 @@ def members(t: DataFrame, cls: str) -> DataFrame:
 def relabelled(t: DataFrame, new: DataFrame) -> DataFrame:
     """t with the labels of new (s, label) in place of all others of s."""
     new = cut(new.where("label IS NOT NULL AND label != ''").select("s", "label"))
-    kept = t.join(new.select("s", F.lit(LABEL).alias("p")), ["s", "p"], "left_anti").select(COLUMNS)
-    return merged(kept, rows(new, F.col("s"), LABEL, F.col("label"), "literal"))
+    old = t.where(F.col("p") == LABEL).join(new.select("s"), "s", "left_anti").select(COLUMNS)
+    kept = t.where(F.col("p") != LABEL).select(COLUMNS).unionByName(old)
+    return dealt(kept.unionByName(rows(new, F.col("s"), LABEL, F.col("label"), "literal")), "s", "p", "o").distinct()
 
 
 def from_property(t: DataFrame, cls: str, p: str, as_uri: bool = False) -> DataFrame:
@@ -139,8 +140,7 @@ def merged_by_class(t: DataFrame, cls: str, p: str, classify: Callable[[Column],
     found = cut(texts.select("s", F.trim(F.regexp_replace(F.trim(classify(F.col("text"))), "^[\"']+|[\"']+$", "")).alias("kind")))
     least = found.groupBy("kind").agg(F.min("s").alias("canonical"))
     renames = cut(found.join(least, "kind").where("s != canonical").select("s", "canonical"))
-    other = t.where(F.col("p") != p).join(renames, "s", "left_anti").select(COLUMNS)
-    return relabelled(redirected(merged(other, t.where(F.col("p") == p)), renames), least.select(F.col("canonical").alias("s"), F.col("kind").alias("label")))
+    return relabelled(renamed(t, renames, F.col("p") == p), least.select(F.col("canonical").alias("s"), F.col("kind").alias("label")))
 
 
 def short_name(c: Column) -> Column:

@@ -27,14 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Bytes of a table, as the optimiser takes them, that a task works on; tables of more than the second have no known size.
-DEALT_BYTES, UNKNOWN_BYTES = 4 << 20, 1 << 50
+#: Bytes of files, counted as often as they are read, for each task that works on what is made of them.
+DEALT_BYTES = 4 << 20
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """df dealt to tasks by keys, more of them the larger it is, so that what a task holds does not grow with the table."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    tasks = size // DEALT_BYTES if size < UNKNOWN_BYTES else 0
+    """df dealt to tasks by keys, more of them the larger its files, so that what a task holds does not grow with the tables."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    files = [x for x in (leaves.apply(k) for k in range(leaves.size())) if x.getClass().getSimpleName() == "LogicalRelation"]
+    tasks = sum(int(str(x.stats().sizeInBytes())) for x in files) // DEALT_BYTES
     return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
 
 

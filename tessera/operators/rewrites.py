@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.triples import COLUMNS, LABEL, TYPE
 from ..sources.vocabulary import LABEL_HINTS, META
 from ..functions.terms import path_name
-from .patterns import cut, merged
+from .patterns import cut, dealt, merged
 
 #: Types that are no classes of individuals, those of properties included.
 TYPES = [*META, *(f"owl:{x}" for x in ("InverseFunctionalProperty", "TransitiveProperty", "SymmetricProperty", "Restriction"))]
@@ -79,10 +79,17 @@ def dedup_all_individuals(t: DataFrame) -> DataFrame:
 
 def redirected(t: DataFrame, renames: DataFrame) -> DataFrame:
     """t with the nodes of renames (s, canonical) replaced wherever they stand."""
+    return dealt(renamed(t, renames), "s", "p", "o").distinct()
+
+
+def renamed(t: DataFrame, renames: DataFrame, moved: Column | None = None) -> DataFrame:
+    """redirected, with what has become a repeat; of renamed subjects only the statements of which moved is true, if it is given."""
     a, b = renames.select("s", F.col("canonical").alias("_s")), renames.select(F.col("s").alias("o"), F.col("canonical").alias("_o"))
-    out = t.join(a, "s", "left").join(b, "o", "left")
-    o = F.when(F.col("o_kind") != "literal", F.coalesce("_o", "o")).otherwise(F.col("o"))
-    return out.select(F.coalesce("_s", "s").alias("s"), "p", o.alias("o"), "o_kind", "o_dt", "o_lang").distinct()
+    own = t.join(a, "s", "left")
+    own = own.where(F.col("_s").isNull() | moved) if moved is not None else own
+    literal = own.where("NOT coalesce(o_kind != 'literal', false)").select(F.coalesce("_s", "s").alias("s"), "p", "o", "o_kind", "o_dt", "o_lang")
+    node = own.where("o_kind != 'literal'").join(b, "o", "left").select(F.coalesce("_s", "s").alias("s"), "p", F.coalesce("_o", "o").alias("o"), "o_kind", "o_dt", "o_lang")
+    return literal.unionByName(node)
 
 
 def materialise_inverses(t: DataFrame, inverses: DataFrame) -> DataFrame:

@@ -291,7 +291,7 @@ def dedup_parts(spark, sf_dir):
 @query(f"""WITH {mapped('part', 'lineitem')}, c AS (SELECT 'ex:part/' || p_partkey AS s, min('ex:part/' || p_partkey) OVER (PARTITION BY p_name, p_brand, p_type) AS c FROM part)
 SELECT DISTINCT coalesce(a.c, t.s) AS s, p, coalesce(b.c, o) AS o, k AS o_kind FROM t LEFT JOIN c a ON a.s = t.s LEFT JOIN c b ON b.s = t.o AND k = 'iri'""")
 def dedup_redirects(spark, sf_dir):
-    return rewrites.dedup_individuals(graph(spark, sf_dir, "part", "lineitem"), "ex:Part").select("s", "p", "o", "o_kind")
+    return rewrites.dedup_individuals(graph(spark, sf_dir, "part", "lineitem", repeats=True), "ex:Part").select("s", "p", "o", "o_kind")
 
 
 @query("SELECT lower(trim(p_name)) AS label, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")

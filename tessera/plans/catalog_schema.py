@@ -337,7 +337,7 @@ SELECT m AS s, 'ex:type' AS p, p_type AS o FROM x UNION SELECT m, 'rdfs:label',
 UNION SELECT 'ex:order/' || l_orderkey, 'ex:contains', m FROM lineitem JOIN x ON s = 'ex:part/' || l_partkey UNION SELECT 'ex:order/' || l_orderkey, 'ex:suppliedBy', 'ex:supplier/' || l_suppkey FROM lineitem""")
 def classified_parts(spark, sf_dir):
     first = labels.classifier(lambda texts: [x.split(" ")[0] for x in texts])  # a stand-in for a language model
-    return labels.merged_by_class(graph(spark, sf_dir, "part", "lineitem"), "ex:Part", "ex:type", first).select("s", "p", "o")
+    return labels.merged_by_class(graph(spark, sf_dir, "part", "lineitem", repeats=True), "ex:Part", "ex:type", first).select("s", "p", "o")
 
 
 # Query text.
